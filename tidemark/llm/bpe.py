@@ -59,7 +59,7 @@ WITH RECURSIVE step(i, fixed, w, toks) AS (
         FROM cur LEFT JOIN best ON cur.w = best.w
     )
 )
-SELECT w, toks FROM step WHERE fixed
+SELECT w, toks, array_to_string(toks, ' ') FROM step WHERE fixed
 """
 
 _DECODE = """
@@ -89,7 +89,7 @@ class Bpe:
             self.con.register("arriving", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM arriving")
             self.con.unregister("arriving")
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self._forget()
 
     def _heap(self, word: bytes) -> list[int]:
         """Ids of one long word: the least pair of least position first, from a heap with lazy deletion."""
@@ -113,34 +113,56 @@ class Bpe:
                 heapq.heappush(heap, (x, h, toks[h], m))
         return [t for t in toks if t >= 0]
 
+    def _forget(self) -> None:
+        #: The number of each known word; where its ids begin in ``flat``, how many they are, and as text.
+        self.known: dict[str, int] = {}
+        self.begins, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.spelled: list[str] = []
+
+    def _add(self, words: list[str], lengths: np.ndarray, flat: np.ndarray, spelled: list[str]) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+        self.spelled += spelled
+
     def learn(self, words: Iterable[str]) -> None:
         """Makes the ids of ``words`` known."""
+        distinct = set(words)
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, fresh = self.known, [w for w in set(words) if w not in self.known]
+            self._forget()
+        fresh = [w for w in distinct if w not in self.known]
         if not fresh:
             return
         coded = [w.encode() for w in fresh]
-        short = []
-        for w, b in zip(fresh, coded, strict=True):
-            if (rank := self.ranks.get(b)) is not None:
-                known[w] = [rank], str(rank)
-            elif len(b) > LONG_WORD:
-                ids = self._heap(b)
-                known[w] = ids, " ".join(map(str, ids))
-            else:
-                short.append((w, b))
+        whole, long, short = [], [], []
+        for i, b in enumerate(coded):
+            (whole if b in self.ranks else long if len(b) > LONG_WORD else short).append(i)
+        if whole:
+            ranks = [self.ranks[coded[i]] for i in whole]
+            self._add([fresh[i] for i in whole], np.ones(len(ranks), np.int64), np.array(ranks, np.int32), list(map(str, ranks)))
+        for i in long:
+            ids = self._heap(coded[i])
+            self._add([fresh[i]], np.array([len(ids)]), np.array(ids, np.int32), [" ".join(map(str, ids))])
         if not short:
             return
-        lengths = np.fromiter((len(b) for _, b in short), np.int64, len(short))
-        data = np.frombuffer(b"".join(b for _, b in short), np.uint8)
+        lengths = np.fromiter((len(coded[i]) for i in short), np.int64, len(short))
+        data = np.frombuffer(b"".join([coded[i] for i in short]), np.uint8)
         w = np.repeat(np.arange(len(short), dtype=np.int32), lengths)
         p = (np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         self.con.register("token_positions", pa.table({"w": w, "p": p, "t": self.byte_ids[data]}))
-        got = self.con.sql(_ENCODE).to_arrow_table()
+        got = self.con.sql(_ENCODE).to_arrow_table().combine_chunks()
         self.con.unregister("token_positions")
-        for i, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            known[short[i][0]] = ids, " ".join(map(str, ids))
+        ids = got.column(1).combine_chunks()
+        self._add([fresh[short[i]] for i in got.column(0).to_pylist()], np.asarray(ids.value_lengths()).astype(np.int64), np.asarray(ids.flatten()).astype(np.int32), got.column(2).to_pylist())
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of known words, and all their ids in order."""
+        n = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        lengths = self.lengths[n]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return n, self.flat[np.repeat(self.begins[n] - ends + lengths, lengths) + np.arange(total)]
 
     def decode(self, docs: np.ndarray, ids: np.ndarray) -> dict[int, bytes]:
         """The bytes of each of ``docs``; ids are in order, docs[i] owns ids[i]."""
@@ -160,12 +182,12 @@ class Bpe:
         while part := list(islice(words, BATCH_WORDS)):
             yield part
 
-    def encode(self, text: str) -> list[int]:
-        found: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        found = [np.zeros(0, np.int32)]
         for words in self.pieces(text or ""):
             self.learn(words)
-            found += chain.from_iterable(self.known[w][0] for w in words)
-        return found
+            found.append(self.ids(words)[1])
+        return np.concatenate(found)
 
 
 _models: dict[tuple[str, str], Bpe] = {}
@@ -235,19 +257,19 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     parts = ([p] for p in parts)
                 for group in parts:
                     bpe.learn(chain.from_iterable(words for _, words in group))
-                    docs_of, ids = [], []
+                    numbers, ids = bpe.ids(list(chain.from_iterable(words for _, words in group)))
+                    own, at = [], 0
                     for k, words in group:
+                        mine = numbers[at : at + len(words)]
+                        at += len(words)
+                        own.append(int(bpe.lengths[mine].sum()))
                         if words:
-                            known = [bpe.known[w] for w in words]
                             if counts[k]:
                                 ids_sha[k].update(b" ")
-                            ids_sha[k].update(" ".join([x[1] for x in known]).encode())
-                            own = list(chain.from_iterable([x[0] for x in known]))
-                            counts[k] += len(own)
-                            docs_of.append((k, len(own)))
-                            ids += own
-                    owners = np.repeat(np.array([k for k, _ in docs_of], np.int32), [m for _, m in docs_of])
-                    for k, b in bpe.decode(owners, np.array(ids, np.int32)).items():
+                            ids_sha[k].update(" ".join(map(bpe.spelled.__getitem__, mine.tolist())).encode())
+                            counts[k] += own[-1]
+                    owners = np.repeat(np.array([k for k, _ in group], np.int32), own)
+                    for k, b in bpe.decode(owners, ids).items():
                         decoded_sha[k].update(b)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts), pa.array([h.hexdigest() for h in ids_sha]), pa.array([h.hexdigest() for h in decoded_sha])],
