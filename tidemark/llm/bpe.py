@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, strings, table
+from .common import mapped, slices, strings, table
 
 LONG_WORD = 256
 #: Words whose ids a worker remembers; beyond it starts anew.
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into:
                 ids = [bpe.encode(x) for x in texts.slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, into])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, column: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -237,7 +237,7 @@ def decode(docs: DataFrame, path: str, pattern: str, column: str = "token_ids",
                 got = bpe.decode(np.repeat(np.arange(len(lists), dtype=np.int32), lengths), ids)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([got.get(k, b"") for k in range(len(lists))], pa.binary())], names=[*names, into])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -276,7 +276,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

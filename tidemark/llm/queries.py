@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
+from .minhash import op10_hyperminhash
 from .token_count import op9_token_counts
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op9_token_counts": op9_token_counts,
+        "op10_hyperminhash": op10_hyperminhash,
     }
 
 
