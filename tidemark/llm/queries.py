@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
 from .minhash import op10_hyperminhash
+from .mixing import op2_mixing
 from .token_count import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_mixing": op2_mixing,
         "op9_token_counts": op9_token_counts,
         "op10_hyperminhash": op10_hyperminhash,
     }
