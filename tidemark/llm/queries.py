@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op1_byte_bpe
 from .minhash import op10_hyperminhash
 from .mixing import op2_mixing
+from .quality import op8_quality_rules
 from .token_count import op9_token_counts
 
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_mixing": op2_mixing,
+        "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_hyperminhash": op10_hyperminhash,
     }
