@@ -11,12 +11,14 @@ from .minhash import op10_hyperminhash
 from .mixing import op2_mixing
 from .quality import op8_quality_rules
 from .token_count import op9_token_counts
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_mixing": op2_mixing,
+        "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_hyperminhash": op10_hyperminhash,
