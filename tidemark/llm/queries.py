@@ -11,6 +11,8 @@ from .minhash import op10_hyperminhash
 from .mixing import op2_mixing
 from .quality import op8_quality_rules
 from .token_count import op9_token_counts
+from .topk import ORACLE as TOP_K_SQL
+from .topk import op4_max_score
 from .toxicity import op7_toxicity
 
 
@@ -18,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_mixing": op2_mixing,
+        "op4_max_score": op4_max_score,
         "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
@@ -26,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_max_score": TOP_K_SQL}
