@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
+from .class_lm import op6_class_lm
 from .minhash import op10_hyperminhash
 from .mixing import op2_mixing
 from .quality import op8_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_mixing": op2_mixing,
         "op4_max_score": op4_max_score,
+        "op6_class_lm": op6_class_lm,
         "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
