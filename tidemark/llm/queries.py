@@ -11,6 +11,7 @@ from .class_lm import op6_class_lm
 from .minhash import op10_hyperminhash
 from .mixing import op2_mixing
 from .quality import op8_quality_rules
+from .suffix_dedup import op3_suffix_dedup
 from .token_count import op9_token_counts
 from .topk import ORACLE as TOP_K_SQL
 from .topk import op4_max_score
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_mixing": op2_mixing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_max_score": op4_max_score,
         "op6_class_lm": op6_class_lm,
         "op7_toxicity": op7_toxicity,
