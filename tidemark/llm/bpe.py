@@ -240,13 +240,20 @@ def decode(docs: DataFrame, path: str, pattern: str, column: str = "token_ids",
     return mapped(docs, run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again."""
+def digests(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",), ids_into: str | None = None) -> DataFrame:
+    """The columns ``carry``, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again.
+
+    ids_into: a column for the ids themselves.
+    """
+    from pyspark.sql import types as T
+
+    n_carried = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path, pattern)
         for batch in batches:
-            texts, n = batch.column(1), batch.num_rows
+            texts, n = batch.column(n_carried), batch.num_rows
+            all_ids: list[list[np.ndarray]] = [[] for _ in range(n)] if ids_into else []
             counts = np.zeros(n, np.int64)
             ids_sha, decoded_sha = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
             for i, j in slices(strings(texts)[1], BATCH_BYTES):
@@ -269,14 +276,23 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                             ids_sha[k].update(" ".join(map(bpe.spelled.__getitem__, mine.tolist())).encode())
                             counts[k] += own[-1]
                     owners = np.repeat(np.array([k for k, _ in group], np.int32), own)
+                    if ids_into:
+                        for (k, _), x in zip(group, np.split(ids, np.cumsum(own)[:-1]), strict=True):
+                            all_ids[k].append(x)
                     for k, b in bpe.decode(owners, ids).items():
                         decoded_sha[k].update(b)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array([h.hexdigest() for h in ids_sha]), pa.array([h.hexdigest() for h in decoded_sha])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [*batch.columns[:n_carried], pa.array(counts), pa.array([h.hexdigest() for h in ids_sha]), pa.array([h.hexdigest() for h in decoded_sha])]
+            if ids_into:
+                flat = [x for own in all_ids for x in own]
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    fields = [docs.schema[c] for c in carry] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if ids_into:
+        fields.append(T.StructField(ids_into, T.ArrayType(T.IntegerType())))
+    schema = T.StructType(fields)
+    return mapped(docs.select(*carry, "text"), run, schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ MOST_COPIES = 3
 #: Documents of one bucket, and residuals that meet in one node of the tree.
 BUCKET, FAN_IN = 1024, 64
 SEED = 20240229
+#: Decisions that are broadcast to where the texts lie.
+BROADCAST_DECISIONS = 300_000
 
 
 def n_words(text: Column) -> Column:
@@ -189,10 +191,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_
     taken = copies(sized, weights, most).select(
         F.col("doc_id").alias(f"{prefix}doc_id"), F.col("source_key").alias(f"{prefix}key"), F.col("size").alias(f"{prefix}n"), F.col("source_size").alias(f"{prefix}source_size"), F.col("target").alias(f"{prefix}target"), F.col("copies").alias(f"{prefix}copies")
     )
+    # decisions have a row for each document, so they are broadcast only up to a count; else texts are shuffled
+    taken = checkpointed(taken)
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_DECISIONS else taken
     on = docs["doc_id"].eqNullSafe(taken[f"{prefix}doc_id"]) & (docs[source] == taken[f"{prefix}key"]) & (docs[size] == taken[f"{prefix}n"])
     return docs.join(taken, on).drop(f"{prefix}doc_id", f"{prefix}key", f"{prefix}n", source)
 
 
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns."""
+    taken = mix(docs, weights, most).where("mix_copies > 0")
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(docs.columns)
+
+
 def sizes_and_copies(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document; texts are read once and never shuffled."""
     sized = docs.select("doc_id", "source", source_key(F.col("source")).alias("source_key"), n_words(F.col("text")).alias("size"))

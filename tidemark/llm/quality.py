@@ -204,7 +204,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     columns = [f"q_{x}" for x in (*STATISTICS, *X)]
     full = with_statistics(docs)
     stats = checkpointed(full.select("lang", "source", *columns))
-    return judge(full, *fit(stats)).where("q_kept").select(docs.columns)
+    # the row number keeps the optimizer from writing the statistics out again in the filter
+    numbered = full.withColumn("q_row", F.monotonically_increasing_id())
+    return judge(numbered, *fit(stats)).where("q_kept AND q_row >= 0").select(docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op1_byte_bpe
 from .class_lm import op6_class_lm
 from .minhash import op10_hyperminhash
+from .line_dedup import op5_line_dedup
 from .mixing import op2_mixing
 from .quality import op8_quality_rules
 from .suffix_dedup import op3_suffix_dedup
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_max_score": op4_max_score,
+        "op5_line_dedup": op5_line_dedup,
         "op6_class_lm": op6_class_lm,
         "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
