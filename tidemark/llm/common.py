@@ -44,20 +44,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application.
 
-    The folder is the one that the session names in spark.checkpoint.dir; a folder of our own is
-    set only where that is unset (single-machine use and tests).
+    It is in the one that the session names in spark.checkpoint.dir; a folder of our own is set
+    only where that is unset (single-machine use and tests).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def laid_out(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` checkpointed in hash partitions by ``keys``, which later joins on them use as they are.
+
+    Spark keeps the partitioning of a checkpoint only where it was planned without adaptive execution.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    df = df.repartition(partitions(df.sparkSession), *keys)
+    conf.set(name, "false")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -149,14 +169,24 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, by prefix sums, mixed with its length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _Powers.get(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[:-1], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 2 << 20) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes, by prefix sums, mixed with its length.
+
+    Sums are kept for about ``block`` bytes at a time, so that memory does not follow the text.
+    """
+    found = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, side="right")))
+        first = int(starts[i])
+        part = data[first : int(ends[j - 1])]
+        up, down = _Powers.get(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[:-1], out=prefix[1:])
+        a, b = starts[i:j] - first, ends[i:j] - first
+        found[i:j] = mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return found
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
