@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, mapped, mix, ship, slices, strings, table, word_hashes, word_spans
+from .common import checkpointed, laid_out, lower_ascii, mapped, mix, ship, slices, strings, table, word_hashes, word_spans
 from .components import components
 
 WIDTH = 5
@@ -39,8 +39,12 @@ BUCKETS, BANDS, ROWS = 128, 24, 4
 MANTISSA_BITS = 10
 #: Links are 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Candidates whose ids are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Members of a bucket that are compared in one block.
 BLOCK = 512
+#: Pairs that are checked together.
+TOGETHER = 200_000
 BATCH_BYTES = 8 << 20
 
 
@@ -92,10 +96,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at, value = registers(h)
                         sketch[k, at] = value
                         ids[k] = mix(h).sum(dtype=np.uint64), mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                bands = np.zeros((j - i, BANDS), np.uint64)
-                for r in range(ROWS):
-                    bands = mix(bands ^ sketch[:, r : BANDS * ROWS : ROWS].astype(np.uint64)) + np.arange(BANDS, dtype=np.uint64)
-                empty = (sketch[:, : BANDS * ROWS].reshape(j - i, BANDS, ROWS) == 0).all(axis=2)
+                bands, empty = band_keys(sketch)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -104,20 +105,43 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(ids[:, 1].view(np.int64)),
                         pa.array([x.tobytes() for x in sketch], pa.binary()),
                         pa.array([b[~e].tolist() for b, e in zip(bands.view(np.int64), empty, strict=True)], pa.list_(pa.int64())),
-                        pa.array([h.tobytes() for h in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "sketch", "bands", "shingles"],
+                    names=["doc_id", "n", "s1", "s2", "sketch", "bands"],
                 )
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            data, offsets = strings(batch.column(1))
+            for i, j in slices(offsets, BATCH_BYTES):
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "shingles"])
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set identity (s1, s2), sketch, bands, shingles of every document."""
+    """doc_id, n, set identity (s1, s2), sketch, bands of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", "text"), _sketch, f"doc_id {kind}, n long, s1 long, s2 long, sketch binary, bands array<long>, shingles binary")
+    return mapped(docs.select("doc_id", "text"), _sketch, f"doc_id {kind}, n long, s1 long, s2 long, sketch binary, bands array<long>")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and shingles (binary) of the documents in ``ids``, laid out by id. Ids are broadcast while they are few."""
+    n = ids.count()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.select("doc_id", "text")
+    if n <= BROADCAST_IDS:
+        wanted = wanted.join(F.broadcast(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
+        return laid_out(mapped(wanted, _sets, f"id {kind}, shingles binary"), "id")
+    return laid_out(mapped(wanted, _sets, f"id {kind}, shingles binary").join(ids, "id", "left_semi"), "id")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets (id, shingles) reach the threshold."""
+    """Those of ``pairs`` (a, b) whose full sets (id, shingles; laid out by id) reach the threshold.
+
+    Sets of a are joined where they lie. b may be a hub with very many pairs; both sides of that
+    join are shuffled by a key that the layout does not know, so that Spark can split it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,21 +154,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return mapped(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, f"a {kind}, b {kind}")
+    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").withColumn("k", F.xxhash64("b"))
+    hubs = sets.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select(F.xxhash64("id").alias("k"), F.col("id").alias("hub"), F.col("shingles").alias("y"))
+    return mapped(left.join(hubs, "k").where("b = hub").select("a", "b", "x", "y"), run, f"a {kind}, b {kind}")
+
 
+def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band of each sketch, and which bands have no register at all."""
+    keys = np.zeros((len(sketch), BANDS), np.uint64)
+    for r in range(ROWS):
+        keys = mix(keys ^ sketch[:, r : BANDS * ROWS : ROWS].astype(np.uint64)) + np.arange(BANDS, dtype=np.uint64)
+    return keys, (sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS) == 0).all(axis=2)
 
-def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity of each sketch of ``x`` to each of ``y``, less the registers expected to be equal by chance."""
+
+def estimate(x: np.ndarray, y: np.ndarray, band: int = -1) -> np.ndarray:
+    """Similarity of each sketch of ``x`` to each of ``y``, less the registers expected to be equal by chance.
+
+    band: pairs that share a band before this one have the estimate -1.
+    """
     found = np.empty((len(x), len(y)), np.float32)
-    filled = (y != 0).astype(np.uint8)
+    filled = y != 0
+    n_filled = filled.sum(axis=1)
     for i, row in enumerate(x):
         own = row != 0
-        equal = ((y == row) & own).sum(axis=1)
-        union = own.sum() + filled.sum(axis=1) - (filled & own).sum(axis=1)
-        chance = (filled & own).sum(axis=1) / (3 << MANTISSA_BITS)
-        found[i] = (equal - chance) / np.maximum(union, 1)
+        equal = (y == row) & own
+        both = filled[:, own].sum(axis=1)
+        found[i] = (equal.sum(axis=1) - both / (3 << MANTISSA_BITS)) / np.maximum(own.sum() + n_filled - both, 1)
+        if band > 0:
+            bands = (y[:, : band * ROWS] == row[: band * ROWS]).reshape(len(y), band, ROWS).all(axis=2)
+            met = (bands & own[: band * ROWS].reshape(band, ROWS).any(axis=1)).any(axis=1)
+            found[i, met] = -1
     return found
 
 
@@ -169,30 +208,77 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
         block, ids = np.asarray(group.column("block")), np.asarray(group.column("id"))
-        order = np.argsort(ids, kind="stable")
-        block, ids = block[order], ids[order]
-        component, n = np.asarray(group.column("component"))[order], np.asarray(group.column("n"))[order]
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)[order]
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        e = estimate(sketch[left], sketch[right])
-        size = np.minimum.outer(n[left], n[right]) * 100 >= percent * np.maximum.outer(n[left], n[right])
-        good = (e >= floor) & size & (component[left][:, None] != component[right][None, :])
-        if best:
-            top = np.where(good, e, -1)
-            rows, cols = np.arange(len(left)), np.arange(len(right))
-            take = np.zeros_like(good)
-            if good.size:
-                take[rows, top.argmax(axis=1)] = True
-                take[top.argmax(axis=0), cols] = True
-            good &= take
-        i, j = np.nonzero(good)
-        a, b = ids[left[i]], ids[right[j]]
+        component, n = np.asarray(group.column("component")), np.asarray(group.column("n"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        with np.errstate(over="ignore"):
+            keys, _ = band_keys(sketch[:1])
+        band = int(np.flatnonzero(keys[0].view(np.int64) == group.column("key")[0].as_py())[0])
+        # of two in different components one at least is not in the commonest
+        names, counts = np.unique(component, return_counts=True)
+        common = component == names[counts.argmax()]
+        parts = [(block == p) & ~common, block == q], [(block == p) & common, (block == q) & ~common]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for left, right in parts:
+            left, right = np.flatnonzero(left), np.flatnonzero(right)
+            if not len(left) or not len(right):
+                continue
+            # a pair that shares an earlier band is found there; the best ones are looked for in each
+            e = estimate(sketch[left], sketch[right], 0 if best else band)
+            size = np.minimum.outer(n[left], n[right]) * 100 >= percent * np.maximum.outer(n[left], n[right])
+            e = np.where((e >= floor) & size & (component[left][:, None] != component[right][None, :]), e, -1)
+            if best:
+                i = np.flatnonzero(e.max(axis=1) > 0)
+                j = np.flatnonzero(e.max(axis=0) > 0)
+                t, u = e[i].argmax(axis=1), e[:, j].argmax(axis=0)
+                out += [(ids[left[i]], ids[right[t]], e[i, t]), (ids[right[j]], ids[left[u]], e[u, j])]
+            else:
+                i, j = np.nonzero(e > 0)
+                out.append((np.minimum(ids[left[i]], ids[right[j]]), np.maximum(ids[left[i]], ids[right[j]]), e[i, j]))
+        a, b, e = (np.concatenate([x[c] for x in out]) if out else (ids[:0], ids[:0], np.zeros(0, np.float32))[c] for c in range(3))
         keep = a != b
-        a, b = a[keep], b[keep]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": a[keep], "b": b[keep], "e": e[keep].astype(np.float32)})
 
     ship(members.sparkSession)
-    return dealt.groupBy("key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}, e float")
+
+
+def confirmed_together(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links among ``pairs`` (a, b, ca, cb), where few documents may have very many pairs.
+
+    Pairs that touch one component are checked together, so that a set travels once for many
+    pairs, in parts of bounded size; there, pairs that links have joined already are passed over.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+    pairs = checkpointed(pairs.withColumn("g", F.least("ca", "cb")).withColumn("other", F.when(F.col("ca") < F.col("cb"), F.col("b")).otherwise(F.col("a"))))
+    sizes = pairs.groupBy("g").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    pairs = pairs.join(sizes, "g").select("a", "b", "g", F.pmod(F.xxhash64("other"), F.col("parts")).alias("s"))
+    wanted = pairs.select("g", "s", F.col("a").alias("id")).union(pairs.select("g", "s", "b")).distinct()
+    sent = wanted.select(F.col("g").alias("h"), F.col("s").alias("u"), "id").join(sets, "id")
+
+    def run(chosen: pa.Table, members: pa.Table) -> pa.Table:
+        shingles = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(members.column("id").to_pylist(), members.column("shingles").combine_chunks() if members.num_rows else [], strict=True)}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = parent.get(y, y)
+                x = y
+            return x
+
+        found = []
+        for a, b in sorted(zip(chosen.column("a").to_pylist(), chosen.column("b").to_pylist(), strict=True)):
+            x, y = root(a), root(b)
+            if x == y:
+                continue
+            both = np.sort(np.concatenate([shingles[a], shingles[b]]), kind="stable")
+            n = int((both[1:] == both[:-1]).sum())
+            if 100 * n >= percent * (len(both) - n):
+                parent[x] = y
+                found.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    ship(pairs.sparkSession)
+    return pairs.groupBy("g", "s").cogroup(sent.groupBy("h", "u")).applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -201,19 +287,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
     heads = some.join(classes.withColumnRenamed("id", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
-    sets = heads.select("id", "shingles")
+    heads = checkpointed(heads.drop("s1", "s2"))
 
     banded = heads.select("id", "n", F.explode("bands").alias("key"))
     # the leader of a bucket is the least by a hash that differs from band to band
     leaders = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")).alias("l")).where("m > 1")
     shared = checkpointed(banded.join(leaders.select("key", "l"), "key").select("key", "id", "n", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n")))
-    met = (
-        shared.where(f"id <> leader AND 100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
-        .groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "id")
-        .agg(F.count("*").alias("bands"))
-    )
-    first = met.groupBy("id").agg(F.max(F.struct("bands", F.col("a"), F.col("b"))).alias("x")).select("x.a", "x.b").distinct()
-    links = checkpointed(confirmed(first, sets, percent))
+    sets = full_sets(docs, checkpointed(shared.select("id").distinct()))
+    met = shared.where(f"id <> leader AND 100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
+    met = met.groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"))
+    first = met.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("x")).select("a", "x.b")
+    links = checkpointed(confirmed(checkpointed(first), sets, percent))
     found = checkpointed(components(links))
 
     def labelled(frame: DataFrame, node: str, into: str) -> DataFrame:
@@ -223,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # leaders met less often, where that joins other components
     more = labelled(labelled(met.select("a", "b", "bands"), "a", "ca"), "b", "cb").where("ca <> cb")
     more = more.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).agg(F.max(F.struct("bands", "a", "b")).alias("x")).select("x.a", "x.b")
-    links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(more, sets, percent)))
+    links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(checkpointed(more), sets, percent)))
     found = checkpointed(components(links))
 
     # what is left in the buckets: best estimates first, then all
@@ -231,7 +315,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         members = labelled(shared.select("key", "id"), "id", "component")
         mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         members = members.join(mixed, "key", "left_semi").distinct().join(heads.select("id", "n", "sketch"), "id")
-        links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(rivals(members, percent, best), sets, percent)))
+        pairs = rivals(members, percent, best)
+        if best:
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("e", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+            more = confirmed(checkpointed(pairs), sets, percent)
+        else:
+            more = confirmed_together(labelled(labelled(pairs.select("a", "b").distinct(), "a", "ca"), "b", "cb"), sets, percent)
+        links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         found = checkpointed(components(links))
 
     of_class = labelled(classes, "id", "component_id").select("s1", "s2", "component_id")
@@ -241,5 +331,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without those that are linked with one of smaller doc_id. Ids that go are broadcast while they are few."""
+    gone = checkpointed(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -61,7 +61,25 @@ def _sliding(x: np.ndarray, width: int, combine) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Positions and gram hashes of the anchors of all rows, and periodic runs (first, end), as positions in ``data``."""
+    """Positions and gram hashes of the anchors of all rows, and periodic runs (first, end), as positions in ``data``.
+
+    One very long row is taken in pieces that share all but one byte of a string: each string lies
+    within a piece, and its anchors depend on nothing else.
+    """
+    if len(data) <= 2 * BATCH_BYTES or len(offsets) > 2:
+        return _anchors(data, offsets)
+    at, g, runs = [], [], []
+    for first in range(0, len(data), BATCH_BYTES):
+        piece = data[first : first + BATCH_BYTES + LENGTH - 1]
+        a, b, c = _anchors(piece, np.array([0, len(piece)]))
+        at.append(a + first)
+        g.append(b)
+        runs += [(x + first, y + first) for x, y in c]
+    places, where = np.unique(np.concatenate(at), return_index=True)
+    return places, np.concatenate(g)[where], runs
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64), []
     n = len(data)
     if n < LENGTH:
