@@ -149,7 +149,7 @@ def content_hash_rows(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def content_hash(payload: Column) -> Column:
     """Lower-case hex, without leading zeros, of a payload's hash (Arrow batches)."""
-    return F.pandas_udf(content_hash_rows, "string", F.PandasUDFType.SCALAR_ITER)(payload.cast("binary"))
+    return F.pandas_udf(content_hash_rows, "string")(payload.cast("binary"))
 
 
 def reply_bulk(value: Column) -> Column:
