@@ -160,7 +160,7 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = M
     units = (
         joined.withColumn("share", share)
         .withColumn("fraction", F.when(F.col("size") > 0, F.col("share") - F.floor("share")).otherwise(0.0))
-        .withColumn("whole", F.floor("share"))
+        .withColumn("whole", F.when(F.col("size") > 0, F.floor("share")).otherwise(0))
         .withColumn("unit_size", F.col("size") * F.col("m"))
         .withColumn("doc_key", doc_key)
         .withColumn("unit_key", F.xxhash64("doc_key", "source_key", "size"))
