@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
 from tidemark.model import PolicyParams
+from tidemark.session import shared_folder
 
 #: Entries of one step of the running sum over victims.
 SLICE = 1 << 20
@@ -33,22 +34,26 @@ def next_victim(state: DataFrame, policy: str, params: PolicyParams = PolicyPara
 def victims(state: DataFrame, policy: str, limit_bytes: Column, params: PolicyParams = PolicyParams()) -> DataFrame:
     """key, size_bytes, freed_before of the entries to evict until the rest fits ``limit_bytes`` (an aggregate of state).
 
-    A running sum in victim order. Entries are dealt to ranges of the order, each range's sum is
-    taken, and only sums of ranges are accumulated in one place; within a range a window runs.
+    A running sum in victim order. Many entries are dealt to ranges of the whole order, key included,
+    so that ties cannot crowd one range; only sums of ranges are accumulated in one place, and
+    within a range a window runs. Ranges are cut once and checkpointed: the sums rely on them.
     """
     order = victim_order(policy, params)
-    first = order[0].cast("double")
-    rows = state.select("key", "size_bytes", first.alias("o"), *(c.alias(f"o{i}") for i, c in enumerate(order[1:-1], 1)))
-    total = state.agg(F.sum("size_bytes").alias("used"), limit_bytes.cast("double").alias("limit"), F.count("*").alias("n"), F.min(first).alias("lo"), F.max(first).alias("hi"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE))
-    width = F.greatest((F.col("hi") - F.col("lo")) / pieces, F.lit(1e-300))
-    rows = rows.join(F.broadcast(total)).withColumn("piece", F.least(F.floor((F.col("o") - F.col("lo")) / width), pieces - 1))
+    names = [f"o{i}" for i in range(len(order) - 1)]
+    rows = state.select("key", "size_bytes", *(c.alias(n) for n, c in zip(names, order[:-1], strict=True)))
+    total = state.agg(F.sum("size_bytes").alias("used"), limit_bytes.cast("double").alias("limit"))
+    pieces = -(-state.count() // SLICE)
+    if pieces > 1:
+        shared_folder(state.sparkSession)
+        rows = rows.repartitionByRange(pieces, *names, "key").checkpoint().withColumn("piece", F.spark_partition_id())
+    else:
+        rows = rows.withColumn("piece", F.lit(0))
     sums = rows.groupBy("piece").agg(F.sum("size_bytes").alias("bytes"))
     sums = sums.select("piece", F.coalesce(F.sum("bytes").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = Window.partitionBy("piece").orderBy("o", *(f"o{i}" for i in range(1, len(order) - 1)), "key")
+    within = Window.partitionBy("piece").orderBy(*names, "key")
     freed = F.coalesce(F.sum("size_bytes").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     gate = F.col("used") >= F.col("limit") * params.evict_pressure if policy == "cost" else F.lit(True)
-    rows = rows.join(F.broadcast(sums), "piece").withColumn("freed_before", freed)
+    rows = rows.join(F.broadcast(sums), "piece").withColumn("freed_before", freed).join(F.broadcast(total))
     return rows.where((F.col("used") - F.col("freed_before") > F.col("limit")) & gate).select("key", "size_bytes", "freed_before")
 
 
