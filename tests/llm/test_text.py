@@ -246,7 +246,7 @@ def _column(texts):
 
 def test_line_dedup(spark):
     rng = random.Random(12)
-    lines = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(8, 30))) for _ in range(30)]
+    lines = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(30, 60))) for _ in range(30)]
     texts = [*ODD, "\n".join(lines[:9]), "\n".join([*lines[5:14], "", "  ", lines[5]]), "\n".join(edited(rng, x, 1) for x in lines[:14]), "\n".join(lines[20:]), "\n".join(lines[20:])]
     docs = docs_of(spark, texts)
     places = collections.defaultdict(list)
@@ -257,8 +257,8 @@ def test_line_dedup(spark):
     distinct = list(places)
 
     def shingles(x):
-        padded = x + " " * 6
-        return {padded[m.start() : m.start() + 7] for m in re.finditer(r"[^\x20\x09-\x0D]+", x)}
+        padded = x + " " * 8
+        return {padded[m.start() : m.start() + 9] for m in re.finditer(r"[^\x20\x09-\x0D]+", x)}
 
     gone = collections.defaultdict(list)
     groups = collections.defaultdict(list)

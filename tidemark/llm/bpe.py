@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain, islice
 
 import numpy as np
@@ -78,12 +79,11 @@ class Bpe:
         self.split = regex.compile(pattern)
         self.ranks = read_ranks(path)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.pairs = {
-            (self.ranks[b[:i]], self.ranks[b[i:]]): m for b, m in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks
-        }
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        keys = list(self.pairs)
-        found = pa.table({"l": pa.array([k[0] for k in keys], pa.int32()), "r": pa.array([k[1] for k in keys], pa.int32()), "m": pa.array(self.pairs.values(), pa.int32())})
+        pairs = self._pairs()
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        left, right = zip(*pairs, strict=True)
+        found = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "m": pa.array(pairs.values(), pa.int32())})
+        del pairs, left, right
         pieces = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([b.decode("latin-1") for b in self.ranks])})
         for name, rows in (("merges", found), ("vocabulary", pieces)):
             self.con.register("arriving", rows)
@@ -91,6 +91,15 @@ class Bpe:
             self.con.unregister("arriving")
         self._forget()
 
+    def _pairs(self) -> dict[tuple[int, int], int]:
+        """The rank of every pair of tokens that is a token."""
+        ranks = self.ranks
+        return {(ranks[b[:i]], ranks[b[i:]]): m for b, m in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        return self._pairs()
+
     def _heap(self, word: bytes) -> list[int]:
         """Ids of one long word: the least pair of least position first, from a heap with lazy deletion."""
         toks: list[int] = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
@@ -287,6 +296,7 @@ def digests(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = (
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        bpe._forget()
 
     fields = [docs.schema[c] for c in carry] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if ids_into:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -34,10 +36,26 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def trim() -> None:
+    """Gives freed memory of this worker, which may stay idle for long, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow``, with this package on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +96,16 @@ def laid_out(df: DataFrame, *keys: str) -> DataFrame:
         conf.set(name, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps.
+
+    Spark deletes them when the driver collects the objects that stand for them; between
+    checkpoints of a long query that would happen too late to matter.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

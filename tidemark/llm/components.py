@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+#: Rows up to which a table is broadcast to a join; its rows are counted first.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` with a broadcast hint while it has few rows; beyond that joins shuffle both sides."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component for every node that has a link to another one; component is its smallest node.
 
@@ -26,8 +35,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(small(least, 2 * now[0]), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", "m")).distinct()
-        edges = checkpointed(small)
+        joined = large.join(small(least, 2 * now[0]), "a")
+        stars = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", "m")).distinct()
+        edges = checkpointed(stars)

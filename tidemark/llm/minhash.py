@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, laid_out, lower_ascii, mapped, mix, ship, slices, strings, table, word_hashes, word_spans
-from .components import components
+from .common import checkpointed, laid_out, lower_ascii, mapped, mix, release, ship, slices, strings, table, word_hashes, word_spans
+from .components import components, small
 
 WIDTH = 5
 BUCKETS, BANDS, ROWS = 128, 24, 4
@@ -42,7 +42,7 @@ PERCENT = 85
 #: Candidates whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Members of a bucket that are compared in one block.
-BLOCK = 512
+BLOCK = 2048
 #: Pairs that are checked together.
 TOGETHER = 200_000
 BATCH_BYTES = 8 << 20
@@ -167,23 +167,18 @@ def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, (sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS) == 0).all(axis=2)
 
 
-def estimate(x: np.ndarray, y: np.ndarray, band: int = -1) -> np.ndarray:
-    """Similarity of each sketch of ``x`` to each of ``y``, less the registers expected to be equal by chance.
+def estimates(row: np.ndarray, y: np.ndarray, band: int = 0) -> np.ndarray:
+    """Similarity of one sketch to each of ``y``, less the registers expected to be equal by chance.
 
     band: pairs that share a band before this one have the estimate -1.
     """
-    found = np.empty((len(x), len(y)), np.float32)
-    filled = y != 0
-    n_filled = filled.sum(axis=1)
-    for i, row in enumerate(x):
-        own = row != 0
-        equal = (y == row) & own
-        both = filled[:, own].sum(axis=1)
-        found[i] = (equal.sum(axis=1) - both / (3 << MANTISSA_BITS)) / np.maximum(own.sum() + n_filled - both, 1)
-        if band > 0:
-            bands = (y[:, : band * ROWS] == row[: band * ROWS]).reshape(len(y), band, ROWS).all(axis=2)
-            met = (bands & own[: band * ROWS].reshape(band, ROWS).any(axis=1)).any(axis=1)
-            found[i, met] = -1
+    own, filled = row != 0, y != 0
+    equal = (y == row) & own
+    both = filled[:, own].sum(axis=1)
+    found = (equal.sum(axis=1) - both / (3 << MANTISSA_BITS)) / np.maximum(own.sum() + filled.sum(axis=1) - both, 1)
+    if band > 0:
+        bands = (y[:, : band * ROWS] == row[: band * ROWS]).reshape(len(y), band, ROWS).all(axis=2)
+        found[(bands & own[: band * ROWS].reshape(band, ROWS).any(axis=1)).any(axis=1)] = -1
     return found
 
 
@@ -222,18 +217,23 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
             left, right = np.flatnonzero(left), np.flatnonzero(right)
             if not len(left) or not len(right):
                 continue
-            # a pair that shares an earlier band is found there; the best ones are looked for in each
-            e = estimate(sketch[left], sketch[right], 0 if best else band)
-            size = np.minimum.outer(n[left], n[right]) * 100 >= percent * np.maximum.outer(n[left], n[right])
-            e = np.where((e >= floor) & size & (component[left][:, None] != component[right][None, :]), e, -1)
-            if best:
-                i = np.flatnonzero(e.max(axis=1) > 0)
-                j = np.flatnonzero(e.max(axis=0) > 0)
-                t, u = e[i].argmax(axis=1), e[:, j].argmax(axis=0)
-                out += [(ids[left[i]], ids[right[t]], e[i, t]), (ids[right[j]], ids[left[u]], e[u, j])]
-            else:
-                i, j = np.nonzero(e > 0)
-                out.append((np.minimum(ids[left[i]], ids[right[j]]), np.maximum(ids[left[i]], ids[right[j]]), e[i, j]))
+            y, best_e, best_i = sketch[right], np.zeros(len(right)), np.zeros(len(right), np.int64)
+            for i in left:
+                # a pair that shares an earlier band is found there; the best ones are looked for in each
+                e = estimates(sketch[i], y, 0 if best else band)
+                e[(e < floor) | (component[right] == component[i]) | (np.minimum(n[right], n[i]) * 100 < percent * np.maximum(n[right], n[i]))] = 0
+                if best:
+                    best_i[e > best_e] = i
+                    np.maximum(best_e, e, out=best_e)
+                    j = e.argmax()
+                    if e[j] > 0:
+                        out.append((ids[i : i + 1], ids[right[j : j + 1]], e[j : j + 1]))
+                else:
+                    j = np.flatnonzero(e > 0)
+                    other = ids[right[j]]
+                    out.append((np.minimum(ids[i], other), np.maximum(ids[i], other), e[j]))
+            j = np.flatnonzero(best_e > 0)
+            out.append((ids[right[j]], ids[best_i[j]], best_e[j]))
         a, b, e = (np.concatenate([x[c] for x in out]) if out else (ids[:0], ids[:0], np.zeros(0, np.float32))[c] for c in range(3))
         keep = a != b
         return pa.table({"a": a[keep], "b": b[keep], "e": e[keep].astype(np.float32)})
@@ -287,28 +287,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
     heads = some.join(classes.withColumnRenamed("id", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
-    heads = checkpointed(heads.drop("s1", "s2"))
+    heads = laid_out(heads.drop("s1", "s2"), "id")
+    release(docs.sparkSession)
 
     banded = heads.select("id", "n", F.explode("bands").alias("key"))
     # the leader of a bucket is the least by a hash that differs from band to band
     leaders = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")).alias("l")).where("m > 1")
     shared = checkpointed(banded.join(leaders.select("key", "l"), "key").select("key", "id", "n", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n")))
     sets = full_sets(docs, checkpointed(shared.select("id").distinct()))
+    release(docs.sparkSession)
     met = shared.where(f"id <> leader AND 100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
     met = met.groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"))
     first = met.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("x")).select("a", "x.b")
     links = checkpointed(confirmed(checkpointed(first), sets, percent))
     found = checkpointed(components(links))
+    release(docs.sparkSession)
 
     def labelled(frame: DataFrame, node: str, into: str) -> DataFrame:
         names = found.select(F.col("node").alias(node), F.col("component").alias(into))
-        return frame.join(names, node, "left").withColumn(into, F.coalesce(into, node))
+        return frame.join(small(names, found.count()), node, "left").withColumn(into, F.coalesce(into, node))
 
     # leaders met less often, where that joins other components
     more = labelled(labelled(met.select("a", "b", "bands"), "a", "ca"), "b", "cb").where("ca <> cb")
     more = more.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).agg(F.max(F.struct("bands", "a", "b")).alias("x")).select("x.a", "x.b")
     links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(checkpointed(more), sets, percent)))
     found = checkpointed(components(links))
+    release(docs.sparkSession)
 
     # what is left in the buckets: best estimates first, then all
     for best in (True, False):
@@ -323,6 +327,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             more = confirmed_together(labelled(labelled(pairs.select("a", "b").distinct(), "a", "ca"), "b", "cb"), sets, percent)
         links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         found = checkpointed(components(links))
+        del pairs, more, members
+        release(docs.sparkSession)
 
     of_class = labelled(classes, "id", "component_id").select("s1", "s2", "component_id")
     light = rows.select("doc_id", "n", "s1", "s2")
@@ -339,3 +345,18 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.id = e.x WHERE r.c < e.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) AS m ON m.id = d.doc_id
+"""

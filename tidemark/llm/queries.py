@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
 from .class_lm import op6_class_lm
+from .minhash import ORACLE as NEAR_DUPLICATES_SQL
 from .minhash import op10_hyperminhash
 from .line_dedup import op5_line_dedup
 from .mixing import op2_mixing
 from .quality import op8_quality_rules
+from .suffix_dedup import ORACLE as SUFFIX_DEDUP_SQL
 from .suffix_dedup import op3_suffix_dedup
 from .token_count import op9_token_counts
 from .topk import ORACLE as TOP_K_SQL
@@ -35,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_max_score": TOP_K_SQL}
+    return {"op3_suffix_dedup": SUFFIX_DEDUP_SQL, "op4_max_score": TOP_K_SQL, "op10_hyperminhash": NEAR_DUPLICATES_SQL}

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTES, _Powers, checkpointed, mapped, mix, ship, slices, strings, table
+from .common import _BYTES, _Powers, checkpointed, mapped, mix, release, ship, slices, strings, table
 
 LENGTH, GRAM = 200, 40
 #: Places in a string where its grams begin; the most bytes before an anchor.
@@ -247,11 +247,13 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     long = texts.where(F.octet_length("text") >= LENGTH)
     shared = mapped(long.select("text"), _grams, "h long, place long").groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
     shared = checkpointed(shared.where("a <> b").select("h", "n"))
+    release(spark)
     placed = mapped(long, _places, "h long, k long, t long, pos int, stop int")
     placed = placed.join(shared, "h", "left").where("n IS NOT NULL OR stop > 0").select("k", "t", "pos", "stop", (F.col("n") > HOT).alias("hot"))
     placed = checkpointed(placed.join(heads.select("k", "t"), ["k", "t"], "left_semi"))
     at = placed.where("stop = 0").groupBy("k", "t").agg(F.collect_list(F.when(~F.col("hot"), F.col("pos"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("pos"))).alias("hot"))
     at = checkpointed(at)
+    release(spark)
     n_cool, any_hot = at.agg(F.sum(F.size("cool")), F.max(F.size("hot"))).first()
     n_cool, any_hot = n_cool or 0, bool(any_hot)
     some = _only(long, at.select("k").distinct()).join(at, ["k", "t"])
@@ -372,3 +374,17 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, sha256(encode(coalesce(text, ''))) AS whole, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400)),
+q AS (SELECT doc_id, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+f AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS first FROM q),
+g AS (SELECT doc_id, i, sum(CAST(first AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM f),
+r AS (SELECT doc_id, s, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, s),
+k AS (SELECT r.doc_id, s, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY s), 0) AS z, coalesce(lead(a) OVER (PARTITION BY r.doc_id ORDER BY s), -1) AS nxt, x FROM r JOIN d ON r.doc_id = d.doc_id),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, sha256(unhex(coalesce(string_agg(substr(x, 2 * z + 1, 2 * (a - z)) || CASE WHEN nxt < 0 THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY s), ''))) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, coalesce(t.kept, d.whole) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
