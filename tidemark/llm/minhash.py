@@ -191,14 +191,15 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of different components of a bucket that may be similar, from rows key, id, component, n, sketch.
 
     Buckets are compared in pairs of blocks, so that a large one is many tasks. A pair that
-    shares several bands is given by the first alone. best: only each one's best estimate.
+    shares several bands is given by the first alone. With best only each one's best, with its
+    estimate e; else all, with g, the smaller component of the two, which is that of a.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     dealt = members.join(sizes.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component", "n", "sketch")
     kind = members.schema["id"].dataType.simpleString()
-    floor = _floor(percent)
+    floor, last = _floor(percent), "e" if best else "g"
 
     def run(group: pa.Table) -> pa.Table:
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
@@ -221,7 +222,7 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
             for i in left:
                 # a pair that shares an earlier band is found there; the best ones are looked for in each
                 e = estimates(sketch[i], y, 0 if best else band)
-                e[(e < floor) | (component[right] == component[i]) | (np.minimum(n[right], n[i]) * 100 < percent * np.maximum(n[right], n[i]))] = 0
+                e[(e < floor) | (component[right] == component[i]) | (ids[right] == ids[i]) | (np.minimum(n[right], n[i]) * 100 < percent * np.maximum(n[right], n[i]))] = 0
                 if best:
                     best_i[e > best_e] = i
                     np.maximum(best_e, e, out=best_e)
@@ -229,29 +230,29 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
                     if e[j] > 0:
                         out.append((ids[i : i + 1], ids[right[j : j + 1]], e[j : j + 1]))
                 else:
-                    j = np.flatnonzero(e > 0)
-                    other = ids[right[j]]
-                    out.append((np.minimum(ids[i], other), np.maximum(ids[i], other), e[j]))
+                    j = right[np.flatnonzero(e > 0)]
+                    lower = component[i] < component[j]
+                    out.append((np.where(lower, ids[i], ids[j]), np.where(lower, ids[j], ids[i]), np.minimum(component[i], component[j])))
             j = np.flatnonzero(best_e > 0)
-            out.append((ids[right[j]], ids[best_i[j]], best_e[j]))
-        a, b, e = (np.concatenate([x[c] for x in out]) if out else (ids[:0], ids[:0], np.zeros(0, np.float32))[c] for c in range(3))
-        keep = a != b
-        return pa.table({"a": a[keep], "b": b[keep], "e": e[keep].astype(np.float32)})
+            if len(j):
+                out.append((ids[right[j]], ids[best_i[j]], best_e[j]))
+        a, b, x = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
+        return pa.table({"a": a.astype(ids.dtype), "b": b.astype(ids.dtype), last: x.astype(np.float32 if best else ids.dtype)})
 
     ship(members.sparkSession)
-    return dealt.groupBy("key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}, e float")
+    return dealt.groupBy("key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}, {last} {'float' if best else kind}")
 
 
 def confirmed_together(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links among ``pairs`` (a, b, ca, cb), where few documents may have very many pairs.
+    """Links among ``pairs`` (a, b, g), where few documents may have very many pairs.
 
     Pairs that touch one component are checked together, so that a set travels once for many
     pairs, in parts of bounded size; there, pairs that links have joined already are passed over.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    pairs = checkpointed(pairs.withColumn("g", F.least("ca", "cb")).withColumn("other", F.when(F.col("ca") < F.col("cb"), F.col("b")).otherwise(F.col("a"))))
-    sizes = pairs.groupBy("g").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    pairs = pairs.join(sizes, "g").select("a", "b", "g", F.pmod(F.xxhash64("other"), F.col("parts")).alias("s"))
+    pairs = checkpointed(pairs)
+    sizes = checkpointed(pairs.groupBy("g").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")))
+    pairs = pairs.join(small(sizes, sizes.count()), "g").select("a", "b", "g", F.pmod(F.xxhash64("b"), F.col("parts")).alias("s"))
     wanted = pairs.select("g", "s", F.col("a").alias("id")).union(pairs.select("g", "s", "b")).distinct()
     sent = wanted.select(F.col("g").alias("h"), F.col("s").alias("u"), "id").join(sets, "id")
 
@@ -324,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("e", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
             more = confirmed(checkpointed(pairs), sets, percent)
         else:
-            more = confirmed_together(labelled(labelled(pairs.select("a", "b").distinct(), "a", "ca"), "b", "cb"), sets, percent)
+            more = confirmed_together(pairs, sets, percent)
         links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         found = checkpointed(components(links))
         del pairs, more, members
