@@ -44,7 +44,7 @@ BROADCAST_IDS = 2_000_000
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
 #: Pairs that are checked together.
-TOGETHER = 200_000
+TOGETHER = 50_000
 BATCH_BYTES = 8 << 20
 
 
@@ -192,14 +192,14 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
 
     Buckets are compared in pairs of blocks, so that a large one is many tasks. A pair that
     shares several bands is given by the first alone. With best only each one's best, with its
-    estimate e; else all, with g, the smaller component of the two, which is that of a.
+    estimate e; else all, as one row for each b and other component g, with the list of those found there.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     dealt = members.join(sizes.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component", "n", "sketch")
     kind = members.schema["id"].dataType.simpleString()
-    floor, last = _floor(percent), "e" if best else "g"
+    floor, kinds = _floor(percent), pa.int32() if kind == "int" else pa.int64()
 
     def run(group: pa.Table) -> pa.Table:
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
@@ -214,6 +214,7 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
         common = component == names[counts.argmax()]
         parts = [(block == p) & ~common, block == q], [(block == p) & common, (block == q) & ~common]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        lists: list[tuple[int, int, np.ndarray]] = []
         for left, right in parts:
             left, right = np.flatnonzero(left), np.flatnonzero(right)
             if not len(left) or not len(right):
@@ -231,29 +232,38 @@ def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
                         out.append((ids[i : i + 1], ids[right[j : j + 1]], e[j : j + 1]))
                 else:
                     j = right[np.flatnonzero(e > 0)]
-                    lower = component[i] < component[j]
-                    out.append((np.where(lower, ids[i], ids[j]), np.where(lower, ids[j], ids[i]), np.minimum(component[i], component[j])))
+                    for g in np.unique(component[j]):
+                        lists.append((ids[i], g, ids[j[component[j] == g]]))
             j = np.flatnonzero(best_e > 0)
             if len(j):
                 out.append((ids[right[j]], ids[best_i[j]], best_e[j]))
+        if not best:
+            return pa.table({"b": pa.array([x[0] for x in lists], kinds), "g": pa.array([x[1] for x in lists], kinds), "found": pa.array([x[2] for x in lists], pa.list_(kinds))})
         a, b, x = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
-        return pa.table({"a": a.astype(ids.dtype), "b": b.astype(ids.dtype), last: x.astype(np.float32 if best else ids.dtype)})
+        return pa.table({"a": a.astype(ids.dtype), "b": b.astype(ids.dtype), "e": x.astype(np.float32)})
 
     ship(members.sparkSession)
-    return dealt.groupBy("key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}, {last} {'float' if best else kind}")
+    return dealt.groupBy("key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}, e float" if best else f"b {kind}, g {kind}, found array<{kind}>")
 
 
-def confirmed_together(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links among ``pairs`` (a, b, g), where few documents may have very many pairs.
+def confirmed_together(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) among lists (b, g, found) of the documents of component g that may be similar to b.
 
-    Pairs that touch one component are checked together, so that a set travels once for many
-    pairs, in parts of bounded size; there, pairs that links have joined already are passed over.
+    One component may be a rival of very many documents. Its sets travel once for many of them, in
+    parts of bounded size; there, pairs that links have joined already are passed over.
     """
-    kind = pairs.schema["a"].dataType.simpleString()
-    pairs = checkpointed(pairs)
-    sizes = checkpointed(pairs.groupBy("g").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")))
-    pairs = pairs.join(small(sizes, sizes.count()), "g").select("a", "b", "g", F.pmod(F.xxhash64("b"), F.col("parts")).alias("s"))
-    wanted = pairs.select("g", "s", F.col("a").alias("id")).union(pairs.select("g", "s", "b")).distinct()
+    kind = lists.schema["b"].dataType.simpleString()
+    lists = checkpointed(lists)
+    sizes = checkpointed(lists.groupBy("g").agg(F.ceil(F.sum(F.size("found")) / TOGETHER).alias("parts")))
+    few = small(sizes, sizes.count())
+    lists = lists.join(few, "g").select("b", "g", "found", F.pmod(F.xxhash64("b"), F.col("parts")).alias("s"))
+
+    def named(part: pa.Table) -> pa.Table:
+        ids = np.unique(np.concatenate([np.asarray(part.column("b")), np.asarray(part.column("found").combine_chunks().flatten())]))
+        return pa.table({"g": part.column("g").take(pa.array(np.zeros(len(ids), np.int64))), "s": part.column("s").take(pa.array(np.zeros(len(ids), np.int64))), "id": ids})
+
+    ship(lists.sparkSession)
+    wanted = lists.groupBy("g", "s").applyInArrow(named, f"g {kind}, s long, id {kind}")
     sent = wanted.select(F.col("g").alias("h"), F.col("s").alias("u"), "id").join(sets, "id")
 
     def run(chosen: pa.Table, members: pa.Table) -> pa.Table:
@@ -266,8 +276,8 @@ def confirmed_together(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT
                 x = y
             return x
 
-        found = []
-        for a, b in sorted(zip(chosen.column("a").to_pylist(), chosen.column("b").to_pylist(), strict=True)):
+        linked = []
+        for a, b in sorted((a, b) for b, rivals in zip(chosen.column("b").to_pylist(), chosen.column("found").to_pylist(), strict=True) for a in rivals):
             x, y = root(a), root(b)
             if x == y:
                 continue
@@ -275,11 +285,10 @@ def confirmed_together(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT
             n = int((both[1:] == both[:-1]).sum())
             if 100 * n >= percent * (len(both) - n):
                 parent[x] = y
-                found.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+                linked.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
-    ship(pairs.sparkSession)
-    return pairs.groupBy("g", "s").cogroup(sent.groupBy("h", "u")).applyInArrow(run, f"a {kind}, b {kind}")
+    return lists.groupBy("g", "s").cogroup(sent.groupBy("h", "u")).applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
