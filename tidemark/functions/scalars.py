@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import CONTENT_BASIS, DEFAULT_TTL_MS, FNV64_PRIME, MAX_KEY_BYTES, MAX_VALUE_BYTES, OWNER_MISS_COST, OWNER_TTL_MS, PARAM_BOUNDS, TYPE_MISS_COST, PolicyParams
+from tidemark.session import ship
 
 
 def _text(c: Column) -> Column:
@@ -149,6 +150,8 @@ def content_hash_rows(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def content_hash(payload: Column) -> Column:
     """Lower-case hex, without leading zeros, of a payload's hash (Arrow batches)."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
     return F.pandas_udf(content_hash_rows, "string")(payload.cast("binary"))
 
 
