@@ -282,3 +282,25 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 9: 4} | {100 + i: 100 for i in range(50)} | {300 + i: 300 for i in range(61)}
     assert got == want
+
+
+def all_places(line):
+    """The five-character shingles of a line at every position."""
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
+def lines_kept(spark, lines):
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(lines)], SCHEMA).repartition(3)
+    return [r.text == lines[r.doc_id] for r in sorted(line_dedup.dedup_lines(docs).collect())]
+
+
+def test_line_dedup_looks_at_whole_lines(spark):
+    """Long words, and lines without spaces, are compared to their ends."""
+    rng = random.Random(13)
+    lines = ["https://example.com/articles/2021/alpha", "https://example.com/shop/beta?id=77", "これは最初の行で、天気のことだけが書かれている。", "これは最初の行で、料理と旅行についてのみ述べる。", "a", "b"]
+    lines += ["/usr/share/" + "".join(rng.choice("0123456789abcdef") for _ in range(200)) for _ in range(4)]
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120)) + "𠮷"
+    lines += [cjk, cjk[:60] + "改" + cjk[61:], lines[0] * 3 + "/one", lines[0] * 3 + "/two"]
+    c = brute_components([all_places(x) for x in lines], 80)
+    assert c[:10] == list(range(10)) and c[11] == 10
+    assert lines_kept(spark, lines) == [i == k for i, k in enumerate(c)]
