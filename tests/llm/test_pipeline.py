@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from tests.llm.test_text import SCHEMA, edited, prose
+from tests.llm.test_text import SCHEMA, brute_components, edited, prose
 
 QUERIES = [f"op{n}_" for n in range(1, 11)]
 
@@ -33,6 +33,25 @@ def test_stages(spark):
         assert r.decoded_sha256 == hashlib.sha256(mixed[r.doc_id].encode()).hexdigest()
 
 
+def test_near_duplicates_from_four_fifths(spark):
+    """The near-duplicate stage against brute force, with pairs from 0.8 to below 0.85."""
+    rng = random.Random(2)
+    texts = []
+    for _ in range(12):
+        words = prose(rng, 104).split()
+        # 100 shingles; so many of them change at the end
+        texts += [" ".join(words), *(" ".join(words[:-n] + [f"x{i}" for i in range(n)]) for n in (rng.randint(9, 11), 12))]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = brute_components([shingles(t) for t in texts], 80)
+    assert len(set(want)) < len(set(brute_components([shingles(t) for t in texts], 85)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()} == set(want)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
