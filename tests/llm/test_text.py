@@ -304,3 +304,30 @@ def test_line_dedup_looks_at_whole_lines(spark):
     c = brute_components([all_places(x) for x in lines], 80)
     assert c[:10] == list(range(10)) and c[11] == 10
     assert lines_kept(spark, lines) == [i == k for i, k in enumerate(c)]
+
+
+def test_line_dedup_of_ordinary_lines(spark):
+    """One changed word in lines of 8 to 30 words, as brute force over all positions says."""
+    rng = random.Random(14)
+    lines = ["the quick brown fox jumps over the lazy dog near the river", "the quick brown fox jumped over the lazy dog near the river"]
+    for _ in range(40):
+        x = " ".join(rng.choice(WORDS) for _ in range(rng.randint(8, 30)))
+        lines += [x, edited(rng, x, 1)]
+    c = brute_components([all_places(x) for x in lines], 80)
+    assert c[1] == 0 and 20 < len(set(c)) < len(c)
+    assert lines_kept(spark, lines) == [i == k for i, k in enumerate(c)]
+
+
+def test_line_bands_find_pairs_at_the_threshold():
+    """Of pairs with similarity 0.8 no more than one in 200 shares no band, whatever their size."""
+    draw = np.random.default_rng(15)
+    for n in (20, 60):
+        common, missed = n * 4 // 5, 0
+        for _ in range(3000):
+            h, g = (np.frombuffer(draw.bytes(8 * n), np.uint64) for _ in range(2))
+            masks = [np.uint64(m % 2**64) for m in line_dedup.MASKS]
+            v = np.stack([(h ^ (g << np.uint64(i % line_dedup.SHIFTS)) ^ masks[i // line_dedup.SHIFTS]).view(np.int64) for i in range(line_dedup.MINIMA)])
+            half = common + (n - common) // 2
+            equal = v[:, :half].min(axis=1) == np.concatenate([v[:, :common], v[:, half:]], axis=1).min(axis=1)
+            missed += not any(equal[b].all() for b in line_dedup.BAND_OF)
+        assert missed <= 15
