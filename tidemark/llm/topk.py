@@ -2,10 +2,11 @@
 
 A dimension is a term, a vector's distance from the dimension's least useful value is its impact.
 For a query every dimension then adds between nothing and a bound, and a score is a base that the
-query determines plus such parts. Dimensions are ordered by bound: those whose bounds together
-cannot lift a vector above the current k-th score are non-essential. Essential dimensions are
-traversed for all vectors of a shard; the others are probed one group after another, only for
-vectors that are still competitive, and drop out as bounds run out.
+query determines plus such parts. Dimensions are ordered by mean bound for queries that are scored
+together, and a fixed share of them, the first five eighths, is essential: unlike in MaxScore as
+published, the split does not follow the k-th score. Essential dimensions are traversed for all
+vectors of a shard; the others are probed one group after another, only for vectors that are still
+competitive, and drop out as bounds run out.
 
 Vectors are packed in shards and queries in blocks, both of bounded size; every shard meets every
 block once, as rows of a join on (shard, block). A shard's k best of each query are merged by a
