@@ -331,3 +331,17 @@ def test_line_bands_find_pairs_at_the_threshold():
             equal = v[:, :half].min(axis=1) == np.concatenate([v[:, :common], v[:, half:]], axis=1).min(axis=1)
             missed += not any(equal[b].all() for b in line_dedup.BAND_OF)
         assert missed <= 15
+
+
+def test_small_sets_share_a_band():
+    """Sets of seven and six shingles of which six are shared have a band in common, in whichever registers they fall."""
+    draw = np.random.default_rng(16)
+    for _ in range(20_000):
+        sketch = np.zeros((2, minhash.BUCKETS), np.uint16)
+        h = np.frombuffer(draw.bytes(56), np.uint64)
+        for row, part in zip(sketch, (h, h[:6]), strict=True):
+            at, value = minhash.registers(np.sort(part))
+            row[at] = value
+        with np.errstate(over="ignore"):
+            keys, empty = minhash.band_keys(sketch)
+        assert ((keys[0] == keys[1]) & ~empty[0] & ~empty[1]).any()

@@ -15,7 +15,8 @@ mantissa bits. Four registers make a band.
    all others follow.
 
 So no group is ever expanded into all its pairs, and none is capped: what is skipped is already
-in one component. A pair of similarity 0.85 shares no band with probability below 2e-8.
+in one component. Bands cover all registers. Sets of few shingles leave most registers empty and miss
+more pairs than large ones; they have no exact way of their own yet.
 
 Nulls and texts without words have an empty set and are linked with nothing. Rows without doc_id
 are counted, belong to no component (null) and are kept. Rows that share a doc_id are one node.
@@ -35,7 +36,7 @@ from .common import checkpointed, laid_out, lower_ascii, mapped, mix, release, s
 from .components import components, small
 
 WIDTH = 5
-BUCKETS, BANDS, ROWS = 128, 24, 4
+BUCKETS, BANDS, ROWS = 128, 32, 4
 MANTISSA_BITS = 10
 #: Links are 100 * intersection >= PERCENT * union.
 PERCENT = 85
