@@ -225,7 +225,7 @@ def test_near_duplicates(spark):
 def test_blocks_compare_all_members(spark, monkeypatch):
     """Large buckets are compared in pairs of blocks; a chain of links is one component."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "TOGETHER", 5)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 700)
     rng = random.Random(11)
     texts = [prose(rng, 100)]
     for _ in range(40):
@@ -236,6 +236,23 @@ def test_blocks_compare_all_members(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_small_sets_have_an_exact_way(spark):
+    """Short texts that differ by a word at one end: bands miss some of them, prefixes none."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(400):
+        words = prose(rng, rng.randint(5, 14)).split()
+        texts += [" ".join(words), " ".join([*words, "x"]), " ".join(words[1:])]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    want = brute_components([shingles(t) for t in texts], 85)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def _column(texts):
     import pyarrow as pa
 

@@ -58,6 +58,27 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(trimmed, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows, but for the last, that hold every group of equal ``column`` whole; rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        g = np.asarray(t.column(column))
+        others = np.flatnonzero(g != g[-1])
+        if len(others):
+            yield t.slice(0, int(others[-1]) + 1)
+            held = t.slice(int(others[-1]) + 1).to_batches()
+            n = sum(b.num_rows for b in held)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

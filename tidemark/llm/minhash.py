@@ -9,14 +9,15 @@ mantissa bits. Four registers make a band.
    each band), most often met leader first. Pairs are confirmed on full sets, and linked classes
    become components.
 3. In buckets that still hold several components, representatives of different ones are compared
-   by registers, in blocks. The share of equal registers, less those expected to be equal by
-   chance, estimates the similarity; what may reach the threshold within six standard deviations
-   is confirmed on full sets. Each one's best estimates go first, so that few pairs are left when
-   all others follow.
+   by registers. The share of equal registers, less those expected to be equal by chance,
+   estimates the similarity; what may reach the threshold within six standard deviations is
+   confirmed on full sets, bucket by bucket: a set travels once for each group of bounded size, and
+   all pairs of a group are counted there by the shingles that they have in common.
 
-So no group is ever expanded into all its pairs, and none is capped: what is skipped is already
-in one component. Bands cover all registers. Sets of few shingles leave most registers empty and miss
-more pairs than large ones; they have no exact way of their own yet.
+So no pair is ever a row unless it is a link that joins two components, and no group is capped: what
+is skipped is already in one component. Bands cover all registers. Sets of fewer than ``SMALL``
+shingles leave most registers empty; they have an exact way beside the bands: two linked sets share one
+of their least hashes, so few of which are keys of buckets as well.
 
 Nulls and texts without words have an empty set and are linked with nothing. Rows without doc_id
 are counted, belong to no component (null) and are kept. Rows that share a doc_id are one node.
@@ -25,14 +26,15 @@ Ties cannot arise: leaders are least by (hash, doc_id), components least by doc_
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, laid_out, lower_ascii, mapped, mix, release, ship, slices, strings, table, word_hashes, word_spans
+from .common import checkpointed, laid_out, lower_ascii, mapped, mix, partitions, release, slices, strings, table, whole_groups, word_hashes, word_spans
 from .components import components, small
 
 WIDTH = 5
@@ -42,10 +44,10 @@ MANTISSA_BITS = 10
 PERCENT = 85
 #: Candidates whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members of a bucket that are compared in one block.
-BLOCK = 2048
-#: Pairs that are checked together.
-TOGETHER = 50_000
+#: Members of a bucket, and shingles of theirs, that are compared in one block.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
+#: Sets of fewer shingles have an exact candidate way, as registers say little of them; sets linked with those have fewer than WIDEST.
+SMALL, WIDEST = 40, 64
 BATCH_BYTES = 8 << 20
 
 
@@ -84,7 +86,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> l
     return found
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(h: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a small set of sorted hashes, of which any two linked sets share one: its least hashes, one more than a linked set may lack."""
+    n = len(h)
+    if n >= WIDEST:
+        return h[:0]
+    return mix(h[: n - -(-percent * n // 100) + 1] ^ np.uint64(0x2545F4914F6CDD1D))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = strings(batch.column(1))
@@ -98,6 +108,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         sketch[k, at] = value
                         ids[k] = mix(h).sum(dtype=np.uint64), mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                 bands, empty = band_keys(sketch)
+                keys = [np.concatenate([b[~e], prefix(h, percent)]).view(np.int64).tolist() for b, e, h in zip(bands, empty, sets, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -105,7 +116,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(ids[:, 0].view(np.int64)),
                         pa.array(ids[:, 1].view(np.int64)),
                         pa.array([x.tobytes() for x in sketch], pa.binary()),
-                        pa.array([b[~e].tolist() for b, e in zip(bands.view(np.int64), empty, strict=True)], pa.list_(pa.int64())),
+                        pa.array(keys, pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n", "s1", "s2", "sketch", "bands"],
                 )
@@ -120,10 +131,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "shingles"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set identity (s1, s2), sketch, bands of every document."""
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, set identity (s1, s2), sketch, bucket keys (bands) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", "text"), _sketch, f"doc_id {kind}, n long, s1 long, s2 long, sketch binary, bands array<long>")
+    return mapped(docs.select("doc_id", "text"), partial(_sketch, percent=percent), f"doc_id {kind}, n long, s1 long, s2 long, sketch binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,19 +179,14 @@ def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, (sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS) == 0).all(axis=2)
 
 
-def estimates(row: np.ndarray, y: np.ndarray, band: int = 0) -> np.ndarray:
-    """Similarity of one sketch to each of ``y``, less the registers expected to be equal by chance.
-
-    band: pairs that share a band before this one have the estimate -1.
-    """
-    own, filled = row != 0, y != 0
-    equal = (y == row) & own
-    both = filled[:, own].sum(axis=1)
-    found = (equal.sum(axis=1) - both / (3 << MANTISSA_BITS)) / np.maximum(own.sum() + filled.sum(axis=1) - both, 1)
-    if band > 0:
-        bands = (y[:, : band * ROWS] == row[: band * ROWS]).reshape(len(y), band, ROWS).all(axis=2)
-        found[(bands & own[: band * ROWS].reshape(band, ROWS).any(axis=1)).any(axis=1)] = -1
-    return found
+def estimates(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of each sketch of ``x`` to that in ``y``, less the registers expected to be equal by chance; and their first common band."""
+    own, filled = x != 0, y != 0
+    equal = (x == y) & own
+    both = (own & filled).sum(axis=1)
+    found = (equal.sum(axis=1) - both / (3 << MANTISSA_BITS)) / np.maximum(own.sum(axis=1) + filled.sum(axis=1) - both, 1)
+    bands = (x == y).reshape(len(x), BANDS, ROWS).all(axis=2) & own.reshape(len(x), BANDS, ROWS).any(axis=2)
+    return found, np.where(bands.any(axis=1), bands.argmax(axis=1), BANDS)
 
 
 def _floor(percent: int) -> float:
@@ -188,113 +194,121 @@ def _floor(percent: int) -> float:
     return p - 6 * (p * (1 - p) / BUCKETS) ** 0.5
 
 
-def rivals(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components of a bucket that may be similar, from rows key, id, component, n, sketch.
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` (key, id, component, n, sketch) of buckets in groups g of bounded size, with their block and the group's two.
 
-    Buckets are compared in pairs of blocks, so that a large one is many tasks. A pair that
-    shares several bands is given by the first alone. With best only each one's best, with its
-    estimate e; else all, as one row for each b and other component g, with the list of those found there.
+    A bucket is one group while its members and their sets are few; a larger one is cut into blocks that meet in pairs, so that it is many tasks.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = members.join(sizes.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component", "n", "sketch")
-    kind = members.schema["id"].dataType.simpleString()
-    floor, kinds = _floor(percent), pa.int32() if kind == "int" else pa.int64()
-
-    def run(group: pa.Table) -> pa.Table:
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        block, ids = np.asarray(group.column("block")), np.asarray(group.column("id"))
-        component, n = np.asarray(group.column("component")), np.asarray(group.column("n"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component", "n", "sketch")
+    return rows.select(F.xxhash64("key", "p", "q").alias("g"), (F.col("p") == F.col("q")).alias("whole"), (F.col("block") == F.col("p")).alias("left"), "key", "id", "component", "n", "sketch")
+
+
+def in_groups(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """``run`` over tables of whole groups (by g) of ``rows``, many small ones at a time."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            keys, _ = band_keys(sketch[:1])
-        band = int(np.flatnonzero(keys[0].view(np.int64) == group.column("key")[0].as_py())[0])
-        # of two in different components one at least is not in the commonest
-        names, counts = np.unique(component, return_counts=True)
-        common = component == names[counts.argmax()]
-        parts = [(block == p) & ~common, block == q], [(block == p) & common, (block == q) & ~common]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        lists: list[tuple[int, int, np.ndarray]] = []
-        for left, right in parts:
-            left, right = np.flatnonzero(left), np.flatnonzero(right)
-            if not len(left) or not len(right):
-                continue
-            y, best_e, best_i = sketch[right], np.zeros(len(right)), np.zeros(len(right), np.int64)
-            for i in left:
-                # a pair that shares an earlier band is found there; the best ones are looked for in each
-                e = estimates(sketch[i], y, 0 if best else band)
-                e[(e < floor) | (component[right] == component[i]) | (ids[right] == ids[i]) | (np.minimum(n[right], n[i]) * 100 < percent * np.maximum(n[right], n[i]))] = 0
-                if best:
-                    best_i[e > best_e] = i
-                    np.maximum(best_e, e, out=best_e)
-                    j = e.argmax()
-                    if e[j] > 0:
-                        out.append((ids[i : i + 1], ids[right[j : j + 1]], e[j : j + 1]))
-                else:
-                    j = right[np.flatnonzero(e > 0)]
-                    for g in np.unique(component[j]):
-                        lists.append((ids[i], g, ids[j[component[j] == g]]))
-            j = np.flatnonzero(best_e > 0)
-            if len(j):
-                out.append((ids[right[j]], ids[best_i[j]], best_e[j]))
-        if not best:
-            return pa.table({"b": pa.array([x[0] for x in lists], kinds), "g": pa.array([x[1] for x in lists], kinds), "found": pa.array([x[2] for x in lists], pa.list_(kinds))})
-        a, b, x = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
-        return pa.table({"a": a.astype(ids.dtype), "b": b.astype(ids.dtype), "e": x.astype(np.float32)})
-
-    ship(members.sparkSession)
-    return dealt.groupBy("key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}, e float" if best else f"b {kind}, g {kind}, found array<{kind}>")
-
-
-def confirmed_together(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) among lists (b, g, found) of the documents of component g that may be similar to b.
-
-    One component may be a rival of very many documents. Its sets travel once for many of them, in
-    parts of bounded size; there, pairs that links have joined already are passed over.
+            for t in whole_groups(batches, "g"):
+                yield from run(t).to_batches()
+
+    return mapped(rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g"), whole, schema)
+
+
+def rivals(groups: DataFrame, percent: int) -> DataFrame:
+    """Those rows (g, component, id) of ``groups`` that may be similar to one of another component in their group.
+
+    A pair that shares several bands is looked at in the first alone.
     """
-    kind = lists.schema["b"].dataType.simpleString()
-    lists = checkpointed(lists)
-    sizes = checkpointed(lists.groupBy("g").agg(F.ceil(F.sum(F.size("found")) / TOGETHER).alias("parts")))
-    few = small(sizes, sizes.count())
-    lists = lists.join(few, "g").select("b", "g", "found", F.pmod(F.xxhash64("b"), F.col("parts")).alias("s"))
-
-    def named(part: pa.Table) -> pa.Table:
-        ids = np.unique(np.concatenate([np.asarray(part.column("b")), np.asarray(part.column("found").combine_chunks().flatten())]))
-        return pa.table({"g": part.column("g").take(pa.array(np.zeros(len(ids), np.int64))), "s": part.column("s").take(pa.array(np.zeros(len(ids), np.int64))), "id": ids})
-
-    ship(lists.sparkSession)
-    wanted = lists.groupBy("g", "s").applyInArrow(named, f"g {kind}, s long, id {kind}")
-    sent = wanted.select(F.col("g").alias("h"), F.col("s").alias("u"), "id").join(sets, "id")
-
-    def run(chosen: pa.Table, members: pa.Table) -> pa.Table:
-        shingles = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(members.column("id").to_pylist(), members.column("shingles").combine_chunks() if members.num_rows else [], strict=True)}
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := parent.get(x, x)) != x:
-                parent[x] = parent.get(y, y)
-                x = y
-            return x
-
-        linked = []
-        for a, b in sorted((a, b) for b, rivals in zip(chosen.column("b").to_pylist(), chosen.column("found").to_pylist(), strict=True) for a in rivals):
-            x, y = root(a), root(b)
-            if x == y:
-                continue
-            both = np.sort(np.concatenate([shingles[a], shingles[b]]), kind="stable")
-            n = int((both[1:] == both[:-1]).sum())
-            if 100 * n >= percent * (len(both) - n):
+    id_kind, floor = groups.schema["id"].dataType.simpleString(), _floor(percent)
+
+    def run(t: pa.Table) -> pa.Table:
+        g, key, n = (np.asarray(t.column(c)) for c in ("g", "key", "n"))
+        whole, left = np.array(t.column("whole"), bool), np.array(t.column("left"), bool)
+        ids, component = (np.asarray(t.column(c).combine_chunks().dictionary_encode().indices) for c in ("id", "component"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        keys, _ = band_keys(sketch)
+        at = keys.view(np.int64) == key[:, None]
+        band = np.where(at.any(axis=1), at.argmax(axis=1), BANDS)
+        wanted = np.zeros(len(g), bool)
+        d = 1
+        while len(i := np.flatnonzero(g[:-d] == g[d:])):
+            j = i + d
+            able = (component[i] != component[j]) & (ids[i] != ids[j]) & (whole[i] | (left[i] != left[j])) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+            i, j = i[able], j[able]
+            for k in range(0, len(i), 20_000):
+                x, y = i[k : k + 20_000], j[k : k + 20_000]
+                e, first = estimates(sketch[x], sketch[y])
+                # the estimate says little of small sets, which are compared in any case
+                near = ((e >= floor) | (np.minimum(n[x], n[y]) < SMALL)) & (first == band[x])
+                wanted[x[near]] = True
+                wanted[y[near]] = True
+            d += 1
+        return t.select(["g", "component", "id"]).filter(pa.array(wanted))
+
+    return in_groups(groups, run, f"g long, component {id_kind}, id {id_kind}")
+
+
+def joining(sets: list[np.ndarray], component: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of ``sets`` in different components that join all that can be joined: none within what links have joined before.
+
+    Of two in different components one at least is not in the commonest; those meet all others, by the shingles that sets have in common.
+    """
+    names, own, counts = np.unique(component, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(own != counts.argmax())
+    size = np.array([len(x) for x in sets], np.int64)
+    h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    several = ~(new & np.concatenate([new[1:], [True]]))
+    column, owner = (np.cumsum(new) - 1)[several], owner[order][several]
+    column = np.unique(column, return_inverse=True)[1]
+    common = np.zeros((len(rest), len(sets)), np.float32)
+    width = max(256, (4 << 20) // max(1, len(sets)))
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        found = np.zeros((len(sets), width), np.float32)
+        found[owner[a:b], column[a:b] - k * width] = 1
+        common += found[rest] @ found.T
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, i in enumerate(rest.tolist()):
+        linked = np.flatnonzero((100 * common[k] >= percent * (size[i] + size - common[k])) & (own != own[i]))
+        # one link to each other component is enough
+        for c, j in zip(*np.unique(own[linked], return_index=True), strict=True):
+            x, y = root(own[i]), root(int(c))
+            if x != y:
                 parent[x] = y
-                linked.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
+                yield i, int(linked[j])
+
 
-    return lists.groupBy("g", "s").cogroup(sent.groupBy("h", "u")).applyInArrow(run, f"a {kind}, b {kind}")
+def confirmed_in_groups(wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) on full sets between components of each group of ``wanted`` (g, component, id). A set travels once for each group."""
+    kind = wanted.schema["id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        g, ids = np.asarray(t.column("g")), t.column("id").combine_chunks()
+        component = np.asarray(t.column("component").combine_chunks().dictionary_encode().indices)
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        found = [(a + i, a + j) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a + 1 for i, j in joining(shingles[a:b], component[a:b], percent)]
+        left, right = (pa.array([x[c] for x in found], pa.int64()) for c in range(2))
+        return pa.table({"a": ids.take(left), "b": ids.take(right)})
+
+    rows = wanted.join(sets, "id").select("g", "component", "id", "shingles")
+    return in_groups(rows, run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row of ``docs`` (doc_id, text)."""
-    rows = checkpointed(sketches(docs))
+    rows = checkpointed(sketches(docs, percent))
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
     heads = some.join(classes.withColumnRenamed("id", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
@@ -325,21 +339,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = checkpointed(components(links))
     release(docs.sparkSession)
 
-    # what is left in the buckets: best estimates first, then all
-    for best in (True, False):
-        members = labelled(shared.select("key", "id"), "id", "component")
-        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        members = members.join(mixed, "key", "left_semi").distinct().join(heads.select("id", "n", "sketch"), "id")
-        pairs = rivals(members, percent, best)
-        if best:
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("e", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-            more = confirmed(checkpointed(pairs), sets, percent)
-        else:
-            more = confirmed_together(pairs, sets, percent)
-        links = checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-        found = checkpointed(components(links))
-        del pairs, more, members
-        release(docs.sparkSession)
+    # what is left in the buckets
+    members = labelled(shared.select("key", "id"), "id", "component")
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = members.join(mixed, "key", "left_semi").distinct().join(heads.select("id", "n", "sketch"), "id")
+    more = confirmed_in_groups(checkpointed(rivals(dealt(members), percent)), sets, percent)
+    found = checkpointed(components(checkpointed(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))))
+    release(docs.sparkSession)
 
     of_class = labelled(classes, "id", "component_id").select("s1", "s2", "component_id")
     light = rows.select("doc_id", "n", "s1", "s2")
