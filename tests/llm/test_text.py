@@ -263,7 +263,7 @@ def _column(texts):
 
 def test_line_dedup(spark):
     rng = random.Random(12)
-    lines = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(30, 60))) for _ in range(30)]
+    lines = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(8, 30))) for _ in range(30)]
     texts = [*ODD, "\n".join(lines[:9]), "\n".join([*lines[5:14], "", "  ", lines[5]]), "\n".join(edited(rng, x, 1) for x in lines[:14]), "\n".join(lines[20:]), "\n".join(lines[20:])]
     docs = docs_of(spark, texts)
     places = collections.defaultdict(list)
@@ -272,25 +272,21 @@ def test_line_dedup(spark):
             if re.search(r"[^\x20\x09-\x0D]", x):
                 places[x].append((i, k))
     distinct = list(places)
-
-    def shingles(x):
-        padded = x + " " * 8
-        return {padded[m.start() : m.start() + 9] for m in re.finditer(r"[^\x20\x09-\x0D]+", x)}
-
     gone = collections.defaultdict(list)
     groups = collections.defaultdict(list)
-    for x, c in zip(distinct, brute_components([shingles(x) for x in distinct], 80), strict=True):
+    for x, c in zip(distinct, brute_components([all_places(x) for x in distinct], 80), strict=True):
         groups[c] += places[x]
     for members in groups.values():
         for i, k in sorted(members)[1:]:
             gone[i].append(k)
-    removed, _ = line_dedup.removed_lines(docs)
+    removed = line_dedup.removed_lines(docs)
     assert {r.doc_id: list(r.removed) for r in removed.collect()} == {i: sorted(v) for i, v in gone.items()}
-    cut = {r.doc_id: r for r in line_dedup.dedup_lines(docs.withColumn("removed_", F.lit(1))).collect()}
+    clashing = docs.withColumns({c: F.lit(1) for c in ("removed", "removed_", "text_hash", "t_", "t", "x", "i", "component")})
+    cut = {r.doc_id: r for r in line_dedup.dedup_lines(clashing).collect()}
     assert len(cut) == len(texts)
     for i, t in enumerate(texts):
         want = t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
-        assert cut[i].text == want and cut[i].n_chars == (None if want is None else len(want)) and cut[i].removed_ == 1
+        assert cut[i].text == want and cut[i].n_chars == (None if want is None else len(want)) and cut[i].removed_ == cut[i].removed == cut[i].t_ == cut[i].x == 1
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
@@ -338,16 +334,35 @@ def test_line_dedup_of_ordinary_lines(spark):
 def test_line_bands_find_pairs_at_the_threshold():
     """Of pairs with similarity 0.8 no more than one in 200 shares no band, whatever their size."""
     draw = np.random.default_rng(15)
-    for n in (20, 60):
-        common, missed = n * 4 // 5, 0
-        for _ in range(3000):
-            h, g = (np.frombuffer(draw.bytes(8 * n), np.uint64) for _ in range(2))
-            masks = [np.uint64(m % 2**64) for m in line_dedup.MASKS]
-            v = np.stack([(h ^ (g << np.uint64(i % line_dedup.SHIFTS)) ^ masks[i // line_dedup.SHIFTS]).view(np.int64) for i in range(line_dedup.MINIMA)])
-            half = common + (n - common) // 2
-            equal = v[:, :half].min(axis=1) == np.concatenate([v[:, :common], v[:, half:]], axis=1).min(axis=1)
-            missed += not any(equal[b].all() for b in line_dedup.BAND_OF)
-        assert missed <= 15
+    for n in (20, 60, 300):
+        common, pairs = n * 4 // 5, 3000
+        half = common + (n - common) // 2
+        own = [np.frombuffer(draw.bytes(8 * n), np.uint64) for _ in range(pairs)]
+        with np.errstate(over="ignore"):
+            left = line_dedup.band_keys(line_dedup.signatures(np.concatenate([h[:half] for h in own]), np.full(pairs, half)))
+            right = line_dedup.band_keys(line_dedup.signatures(np.concatenate([np.concatenate([h[:common], h[half:]]) for h in own]), np.full(pairs, common + n - half)))
+        assert (~(left == right).any(axis=1)).sum() <= 15
+
+
+def test_line_shingles_and_ids():
+    """Spans, sets and ids of lines are those of the text's characters."""
+    import pyarrow as pa
+    import xxhash
+
+    from tidemark.llm.common import strings
+
+    texts = ["a\n\nab𠮷cdef\n \t\nlonger line", "", None, "\n", "été à la mer\n", "x" * 9]
+    data, offsets = strings(pa.array(texts))
+    chars, offsets = line_dedup.characters(data), line_dedup.char_offsets(data, offsets)
+    want = [x for t in texts for x in (t or "").split("\n") if x.strip(" \t")]
+    starts, ends = line_dedup.line_spans(chars, offsets)
+    assert ["".join(map(chr, chars[a:b])) for a, b in zip(starts, ends, strict=True)] == want
+    assert line_dedup.line_ids(chars, starts, ends).view(np.uint64).tolist() == [xxhash.xxh64_intdigest(x.encode(), 42) for x in want]
+    with np.errstate(over="ignore"):
+        h, counts = line_dedup.shingles_of(chars, starts, ends)
+    assert counts.tolist() == [max(1, len(x) - 4) for x in want]
+    places = [p for x in want for p in [x[i : i + 5] for i in range(max(1, len(x) - 4))]]
+    assert len(set(h.tolist())) == len(set(places)) and len({(a, b) for a, b in zip(h.tolist(), places, strict=True)}) == len(set(places))
 
 
 def test_small_sets_share_a_band():

@@ -79,6 +79,28 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int = 20_
         yield pa.Table.from_batches(held)
 
 
+def in_groups(rows: DataFrame, run: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """``run`` over tables of whole groups (by g) of ``rows``, many small ones at a time."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for t in whole_groups(batches, "g"):
+                yield from run(t).to_batches()
+
+    return mapped(rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g"), whole, schema)
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``docs`` has it."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ Ties cannot arise: leaders are least by (hash, doc_id), components least by doc_
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, laid_out, lower_ascii, mapped, mix, partitions, release, slices, strings, table, whole_groups, word_hashes, word_spans
+from .common import checkpointed, in_groups, laid_out, lower_ascii, mapped, mix, release, slices, strings, table, word_hashes, word_spans
 from .components import components, small
 
 WIDTH = 5
@@ -206,17 +206,6 @@ def dealt(members: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("key", "p", "q").alias("g"), (F.col("p") == F.col("q")).alias("whole"), (F.col("block") == F.col("p")).alias("left"), "key", "id", "component", "n", "sketch")
 
 
-def in_groups(rows: DataFrame, run: Callable, schema) -> DataFrame:
-    """``run`` over tables of whole groups (by g) of ``rows``, many small ones at a time."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for t in whole_groups(batches, "g"):
-                yield from run(t).to_batches()
-
-    return mapped(rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g"), whole, schema)
-
-
 def rivals(groups: DataFrame, percent: int) -> DataFrame:
     """Those rows (g, component, id) of ``groups`` that may be similar to one of another component in their group.
 
@@ -264,10 +253,11 @@ def joining(sets: list[np.ndarray], component: np.ndarray, percent: int) -> Iter
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     several = ~(new & np.concatenate([new[1:], [True]]))
     column, owner = (np.cumsum(new) - 1)[several], owner[order][several]
-    column = np.unique(column, return_inverse=True)[1]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) > 0)
     common = np.zeros((len(rest), len(sets)), np.float32)
-    width = max(256, (4 << 20) // max(1, len(sets)))
-    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, (4 << 20) // len(sets)))
+    edges = np.searchsorted(column, np.arange(0, columns + width, width))
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         found = np.zeros((len(sets), width), np.float32)
         found[owner[a:b], column[a:b] - k * width] = 1

@@ -10,6 +10,7 @@ from .bpe import op1_byte_bpe
 from .class_lm import op6_class_lm
 from .minhash import ORACLE as NEAR_DUPLICATES_SQL
 from .minhash import op10_hyperminhash
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import op5_line_dedup
 from .mixing import op2_mixing
 from .quality import op8_quality_rules
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": SUFFIX_DEDUP_SQL, "op4_max_score": TOP_K_SQL, "op10_hyperminhash": NEAR_DUPLICATES_SQL}
+    return {"op3_suffix_dedup": SUFFIX_DEDUP_SQL, "op4_max_score": TOP_K_SQL, "op5_line_dedup": LINE_DEDUP_SQL, "op10_hyperminhash": NEAR_DUPLICATES_SQL}
