@@ -102,6 +102,23 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_split_follows_the_score_to_beat():
+    """The higher the score to beat, the fewer dimensions are essential; strips beyond all bounds are not looked at."""
+    assert [topk.split(np.array([5.0, 3, 2, 1]), room) for room in (0, 0.5, 1.5, 3.5, 6.5, 20)] == [4, 4, 3, 2, 1, 0]
+    rng = np.random.default_rng(5)
+    vectors, ids = np.floor(rng.normal(size=(5000, 32)) * 64), np.arange(5000)
+    vectors[3000:] = np.floor(vectors[3000:] / 64)
+    touched = []
+    got = topk.max_score(vectors[:5], ids[:5], vectors, ids, 20, touched=touched)
+    for i, (rows, scores) in enumerate(got):
+        want = vectors @ vectors[i]
+        want[i] = -np.inf
+        best = np.lexsort((ids, -want))[:20]
+        assert rows.tolist() == best.tolist() and scores.tolist() == want[best].tolist()
+    strips = np.array(touched).reshape(5, 5, 3)
+    assert (strips[:, 0, 0] == 32).all() and (strips[:, 1:, 0] < 32).all() and (strips[:, -1, 2] == 0).all()
+
+
 def test_top_k_of_large_components(spark):
     rows = [(i, [1e9 * (i % 7 - 3), 3e8 * (i % 5), -2e9]) for i in range(45)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

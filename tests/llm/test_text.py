@@ -377,3 +377,26 @@ def test_small_sets_share_a_band():
         with np.errstate(over="ignore"):
             keys, empty = minhash.band_keys(sketch)
         assert ((keys[0] == keys[1]) & ~empty[0] & ~empty[1]).any()
+
+
+def test_clashing_names(spark):
+    """Columns of any names pass the stages as they are."""
+    rng = random.Random(23)
+    extra = ["g", "own", "m0", "l00", "q_kept", "q_row", "mix_copies", "mix_copy", "mix_size", "packed", "key", "size"]
+    docs = docs_of(spark, [prose(rng, 80) for _ in range(20)] + [None, ""]).withColumns({c: F.lit(c) for c in extra})
+    for stage in (quality.keep_good, mixing.mixture):
+        rows = stage(docs).collect()
+        assert len(rows) > 10 and all(r[c] == c for r in rows for c in extra)
+        assert stage(docs.limit(0)).columns == docs.columns
+
+
+def test_one_deviating_statistic_is_enough(spark):
+    """Texts that are ordinary but for repeated lines, repeated words or symbols are rejected; ordinary ones stay."""
+    rng = random.Random(24)
+    good = [prose(rng, rng.randint(80, 200)) for _ in range(150)]
+    lines = [rng.choice(WORDS) + " " + rng.choice(WORDS) for _ in range(40)]
+    bad = ["\n".join([*lines, *rng.sample(lines, 36)]), prose(rng, 100) + " " + " ".join(["w1 w2 w3 w4"] * 18), " ".join("#" + w if i % 2 else w for i, w in enumerate(prose(rng, 150).split(" ")))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(good + bad)], SCHEMA)
+    got = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    assert all(got[i].kept for i in range(150))
+    assert [got[i].base_failed for i in (150, 151, 152)] == [False] * 3 and not any(got[i].kept for i in (150, 151, 152))

@@ -90,6 +90,11 @@ def in_groups(rows: DataFrame, run: Callable[[pa.Table], pa.Table], schema) -> D
     return mapped(rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g"), whole, schema)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` of ``docs``, and all of its columns in one named packed, so that no name can clash."""
+    return docs.select(*names, F.struct(*(docs[c] for c in docs.columns)).alias("packed"))
+
+
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """``names``, each lengthened until no column of ``docs`` has it."""
     taken, found = {c.lower() for c in docs.columns}, []

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, ship, table
+from .common import checkpointed, packed, ship, table
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -200,8 +200,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    taken = mix(docs, weights, most).where("mix_copies > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(docs.columns)
+    taken = mix(packed(docs, "doc_id", "text", "source"), weights, most).where("mix_copies > 0")
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("packed.*")
 
 
 def sizes_and_copies(docs: DataFrame) -> DataFrame:

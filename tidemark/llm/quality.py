@@ -28,17 +28,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, table
+from .common import checkpointed, packed, table
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Share of a group's vectors that its estimates come from; concentration steps.
-SHARE, STEPS = 0.75, 3
+#: Share of a group's vectors that its estimates come from, and the fall of the log determinant below which a group has settled.
+SHARE, SETTLED = 0.75, 0.02
 #: Vectors that a group needs for estimates of its own.
 LEAST = 50
 #: Chance of a clean document to be rejected, under a normal distribution.
 TAIL = 1e-5
-#: Standard deviations below which the transformed statistics are not told apart.
-FLOORS = (0.05, 0.10, 0.12, 0.12, 0.05, 0.10)
+#: Standard deviations that each transformed statistic has at least: guards for statistics that are constant in most of a group,
+#: low enough that one strongly deviating statistic (0.41 of the lines or words repeated, 0.41 symbols a word) rejects by itself.
+FLOORS = (0.05, 0.06, 0.07, 0.07, 0.05, 0.08)
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 #: Bins of squared distances: so many to each doubling.
@@ -59,24 +60,10 @@ def _quantile(dof: int, p: float) -> float:
     return hi
 
 
-def _left(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", x, bits)
-
-
-def _right(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", x, bits)
-
-
-def repeated_words(words: Column, n: Column) -> Column:
-    """Words in three-word windows that are found twice or more in the array ``words`` of ``n`` words.
-
-    Window hashes take the upper bits of an integer and positions the lower ones, as few as the
-    text needs; sorted, equal windows are neighbours. Their positions are sorted in turn, and each
-    adds the words that the one before has not covered.
-    """
-    bits = F.length(F.bin(n)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), n.cast("int") - 3), lambda i: _left(_right(F.xxhash64(words[i], words[i + 1], words[i + 2]), bits), bits) + i)
-    return F.when(n >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>"))
+def windows(words: Column, n: Column) -> Column:
+    """The three-word windows of the array ``words`` of ``n`` words as (hash, place), sorted, so that equal ones are neighbours."""
+    found = F.transform(F.sequence(F.lit(0), n.cast("int") - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i")))
+    return F.when(n >= 3, F.sort_array(found)).otherwise(F.array().cast("array<struct<h: bigint, i: int>>"))
 
 
 def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
@@ -85,12 +72,11 @@ def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "q_") ->
     t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumn(f"{prefix}words", F.array_remove(F.split(t, SPACE), ""))
     docs = docs.withColumn(f"{prefix}n_words", F.size(c("words")).cast("long"))
-    docs = docs.withColumn(f"{prefix}windows", repeated_words(c("words"), c("n_words"))).withColumn(f"{prefix}bits", F.length(F.bin(c("n_words"))).cast("int"))
-    last = F.size(c("windows")) - 1
-    key = lambda x: _right(x, c("bits"))
-    at = lambda i: key(F.get(c("windows"), i))
-    again = F.filter(c("windows"), lambda x, i: F.when(i > 0, at(i - 1) == key(x)).otherwise(False) | F.when(i < last, at(i + 1) == key(x)).otherwise(False))
-    docs = docs.withColumn(f"{prefix}again", F.sort_array(F.transform(again, lambda x: x - _left(key(x), c("bits")))))
+    docs = docs.withColumn(f"{prefix}windows", windows(c("words"), c("n_words")))
+    hash_at = lambda i: F.get(c("windows"), i)["h"]
+    again = F.filter(c("windows"), lambda x, i: F.coalesce(hash_at(i - 1) == x["h"], F.lit(False)) | F.coalesce(hash_at(i + 1) == x["h"], F.lit(False)))
+    docs = docs.withColumn(f"{prefix}again", F.sort_array(F.transform(again, lambda x: x["i"].cast("long"))))
+    # a place adds those of its three words that the one before has not covered
     covered = F.aggregate(c("again"), F.struct(F.lit(-3).cast("long").alias("at"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(x.alias("at"), (s["n"] + F.least(F.lit(3).cast("long"), x - s["at"])).alias("n")), lambda s: s["n"])
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     docs = docs.withColumn(f"{prefix}n_repeat_words", F.when(F.size(c("again")) > 0, covered).otherwise(F.lit(0).cast("long"))).withColumn(f"{prefix}lines", lines)
@@ -101,7 +87,7 @@ def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "q_") ->
         .withColumn(f"{prefix}n_marks", F.regexp_count(t, F.lit(r"[!-/:-@\[-`{-~]")).cast("long"))
         .withColumn(f"{prefix}n_lines", F.size(c("lines")).cast("long"))
         .withColumn(f"{prefix}n_dup_lines", (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"))
-        .drop(*(f"{prefix}{x}" for x in ("words", "windows", "bits", "again", "lines")))
+        .drop(*(f"{prefix}{x}" for x in ("words", "windows", "again", "lines")))
         .withColumn(f"{prefix}base_failed", (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words")))
     )
     per_word = lambda x: c(x) / F.greatest(c("n_words"), F.lit(1))
@@ -168,7 +154,7 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: st
 
     # the share of a normal distribution that is closest has smaller variances, by this factor
     scale = SHARE / _even_chi_square(P + 2, _quantile(P, SHARE))
-    for _ in range(STEPS):
+    while True:
         binned = _beside(rows, groups, n).withColumn("bin", F.floor(F.log2(1 + 1024 * _distance()) * FINE)).select("g", "bin", *X)
         tally = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
         order = Window.partitionBy("g").orderBy("bin")
@@ -176,8 +162,14 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: st
         reach = tally.where(F.col("upto") >= SHARE * F.col("all")).groupBy("g").agg(F.min("bin").alias("reach"))
         moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.covar_pop(X[i], X[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
         closest = _beside(binned, checkpointed(reach), n).where("bin <= reach").groupBy("g").agg(*moments)
-        groups = checkpointed(_factored(closest, scale))
-    return names, groups, n
+        # steps go on until no group's determinant falls any more
+        best = groups.withColumn("fresh", F.lit(False)).union(_factored(closest, scale).withColumn("fresh", F.lit(True)))
+        volume = sum((F.log(F.col(f"l{i}{i}")) * 2 for i in range(1, P)), F.log("l00") * 2) + F.when(F.col("fresh"), SETTLED).otherwise(0.0)
+        kept = best.groupBy("g").agg(F.min_by(F.struct(*best.columns[1:]), volume).alias("e")).select("g", "e.*")
+        kept = checkpointed(kept)
+        groups = kept.drop("fresh")
+        if not kept.where("fresh").limit(1).count():
+            return names, groups, n
 
 
 def judge(docs: DataFrame, names: DataFrame, groups: DataFrame, n: int, lang: str = "lang", source: str = "source", prefix: str = "q_") -> DataFrame:
@@ -200,13 +192,13 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
+    """The rows of ``docs`` that are kept, with their columns, whatever the names of others than text, lang and source."""
     columns = [f"q_{x}" for x in (*STATISTICS, *X)]
-    full = with_statistics(docs)
+    full = with_statistics(packed(docs, "text", "lang", "source"))
     stats = checkpointed(full.select("lang", "source", *columns))
     # the row number keeps the optimizer from writing the statistics out again in the filter
     numbered = full.withColumn("q_row", F.monotonically_increasing_id())
-    return judge(numbered, *fit(stats)).where("q_kept AND q_row >= 0").select(docs.columns)
+    return judge(numbered, *fit(stats)).where("q_kept AND q_row >= 0").select("packed.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

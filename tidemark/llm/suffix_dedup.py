@@ -44,8 +44,8 @@ BEFORE = PLACES - 1
 RANGE, HOT = 20_000, 30_000
 #: Texts whose keys are broadcast to read them alone; for more all texts are shuffled.
 BROADCAST_KEYS = 2_000_000
-#: Anchors in the sample that gives the splitters.
-SAMPLE = 50_000
+#: Anchors for each range in the sample that gives the splitters.
+SAMPLE = 20
 BATCH_BYTES = 2 << 20
 CONTEXT = BEFORE + LENGTH
 
@@ -258,9 +258,12 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n_cool, any_hot = n_cool or 0, bool(any_hot)
     some = _only(long, at.select("k").distinct()).join(at, ["k", "t"])
 
-    # splitters: quantiles of the grams at the anchors of sampled texts
+    # splitters: quantiles of the grams at anchors drawn by a hash from all texts that have some
     ranges = max(1, -(-n_cool // RANGE))
-    sample = mapped(long.where(F.pmod(F.xxhash64("k"), F.lit(max(1, min(64, n_cool // SAMPLE)))) == 0).select("text"), _leading, "lead binary").limit(SAMPLE).toPandas()
+    every = max(1, n_cool // (SAMPLE * ranges))
+    drawn = F.filter("cool", lambda p: F.pmod(F.xxhash64("k", "t", p), F.lit(every)) == 0)
+    sample = some.withColumn("cool", drawn).where("size(cool) > 0").select("text", "cool")
+    sample = mapped(sample, _leading, "lead binary").toPandas() if ranges > 1 else {"lead": []}
     leads = np.sort(np.array([bytes(x) for x in sample["lead"]], f"S{GRAM}"))
     splitters = leads[(np.arange(1, ranges) * len(leads)) // ranges] if len(leads) else leads
 
@@ -301,13 +304,12 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            data, offsets = strings(batch.column(0))
-            for i, j in slices(offsets, BATCH_BYTES):
-                part = data[offsets[i] : offsets[j]]
-                at, _, _ = anchors(part, offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array([part[a : a + GRAM].tobytes() for a in at], pa.binary())], names=["lead"])
+    """lead: the grams at the places ``cool`` of each text."""
+    for batch in batches:
+        data, offsets = strings(batch.column(0))
+        for i in range(batch.num_rows):
+            own = data[offsets[i] : offsets[i + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([own[p : p + GRAM].tobytes() for p in batch.column(1)[i].as_py()], pa.binary())], names=["lead"])
 
 
 def _hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,16 +2,19 @@
 
 A dimension is a term, a vector's distance from the dimension's least useful value is its impact.
 For a query every dimension then adds between nothing and a bound, and a score is a base that the
-query determines plus such parts. Dimensions are ordered by mean bound for queries that are scored
-together, and a fixed share of them, the first five eighths, is essential: unlike in MaxScore as
-published, the split does not follow the k-th score. Essential dimensions are traversed for all
-vectors of a shard; the others are probed one group after another, only for vectors that are still
-competitive, and drop out as bounds run out.
+query determines plus such parts. Each query orders dimensions by bound, for each shard anew. As
+many of the last ones as together cannot lift a vector from the base above the score to beat are
+non-essential. The essential ones are traversed; the others are probed a few at a time, and only for
+vectors that are still competitive with the bounds of what is left. Vectors come in strips by falling
+norm: the score to beat rises with each strip, and the split moves with it. A shard, or a strip, whose bounds together
+stay below the score to beat is left out without looking at its vectors.
+
+The score to beat starts as the k-th score among ``SEEDS`` vectors of the whole table, those of
+greatest norm, which is a lower bound of the k-th score of all; it only saves work.
 
 Vectors are packed in shards and queries in blocks, both of bounded size; every shard meets every
 block once, as rows of a join on (shard, block). A shard's k best of each query are merged by a
-ranking that is cut to k before the shuffle. The k-th score to beat is found exactly, in the
-shard itself, from the vectors with the best essential parts.
+ranking that is cut to k before the shuffle.
 
 Null vectors and such with null or non-finite components take no part, as queries or candidates;
 vectors shorter than others have 0 in the dimensions that they lack; an empty vector scores 0.
@@ -36,8 +39,8 @@ K = 20
 SCALE = 64
 EVERY = 20
 SHARD, BLOCK = 8192, 512
-#: Queries that are scored together, and dimensions that are probed together.
-TOGETHER, PROBE = 64, 8
+#: Vectors in a strip, dimensions that are probed together, and vectors that give the first score to beat.
+STRIP, PROBE, SEEDS = 1024, 8, 256
 
 
 def usable(vector: Column) -> Column:
@@ -74,40 +77,62 @@ def _matrix(data: bytes, width: int, fits: bool, columns: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, columns - width))) if m.shape[1] < columns else m
 
 
-def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows of its k best vectors and their scores, for exact float arithmetic."""
-    least, most = vectors.min(axis=0), vectors.max(axis=0)
+def split(bounds: np.ndarray, room: float) -> int:
+    """How many of the dimensions, whose ``bounds`` fall, are essential: the others together add no more than ``room``."""
+    rest = np.concatenate([np.cumsum(bounds[::-1])[::-1], [0.0]])
+    return int(np.argmax(rest < room)) if room > 0 else len(bounds)
+
+
+def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, to_beat: np.ndarray | None = None, touched: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of its k best vectors and their scores, for exact float arithmetic.
+
+    to_beat: for each query a score that its k best reach; lower ones may be left out. touched: gets
+    (essential dimensions, vectors, components looked at) of each query and strip.
+    """
+    order = np.lexsort((ids, -np.einsum("ij,ij->i", vectors, vectors)))
+    strips = []
+    for at in range(0, len(order), STRIP):
+        rows = order[at : at + STRIP]
+        own = vectors[rows]
+        # by dimension, so that what is traversed lies together
+        strips.append((rows, own.min(axis=0), own.max(axis=0), np.ascontiguousarray(own.T)))
     found = []
-    for at in range(0, len(queries), TOGETHER):
-        q = queries[at : at + TOGETHER]
-        low, high = np.minimum(q * least, q * most), np.maximum(q * least, q * most)
-        # one order of dimensions for queries that are scored together: by their mean bound
-        order = np.argsort(-(high - low).mean(axis=0), kind="stable")
-        essential = order[: max(PROBE, len(order) * 5 // 8)]
-        partial = q[:, essential] @ vectors[:, essential].T
-        rest = order[len(essential) :]
-        for i in range(len(q)):
-            part = partial[i].copy()
-            part[ids == query_ids[at + i]] = -np.inf
-            bound = high[i][rest].sum()
-            able = np.flatnonzero(part > -np.inf)
-            if len(able) > k:
-                best = able[np.argpartition(part[able], -k)[-k:]]
-                threshold = np.sort(part[best] + vectors[best][:, rest] @ q[i][rest])[0]
-                able = able[part[able] + bound >= threshold]
-                for p in range(0, len(rest), PROBE):
-                    dims = rest[p : p + PROBE]
-                    part[able] += vectors[np.ix_(able, dims)] @ q[i][dims]
-                    bound = high[i][rest[p + PROBE :]].sum()
-                    able = able[part[able] + bound >= threshold]
-                    if len(able) > k:
-                        sure = np.partition(part[able], -k)[-k] + low[i][rest[p + PROBE :]].sum()
-                        threshold = max(threshold, sure)
-                scores = part[able]
-            else:
-                scores = part[able] + vectors[able][:, rest] @ q[i][rest]
-            top = np.lexsort((ids[able], -scores))[:k]
-            found.append((able[top], scores[top]))
+    for i, q in enumerate(queries):
+        threshold = -np.inf if to_beat is None else to_beat[i]
+        best, scores = np.zeros(0, np.int64), np.zeros(0)
+        for rows, least, most, own in strips:
+            low, high = np.minimum(q * least, q * most), np.maximum(q * least, q * most)
+            base = low.sum()
+            if high.sum() < threshold:
+                if touched is not None:
+                    touched.append((0, len(rows), 0))
+                continue
+            by = np.argsort(low - high, kind="stable")
+            n = max(1, split((high - low)[by], threshold - base)) if len(by) else 0
+            able = np.flatnonzero(ids[rows] != query_ids[i])
+            part = q[by[:n]] @ own[by[:n]]
+            looked = n * len(rows)
+            while n < len(by):
+                able = able[part[able] + high[by[n:]].sum() >= threshold]
+                dims = by[n : n + PROBE]
+                if len(able) * 4 > len(rows):
+                    part += q[dims] @ own[dims]
+                    looked += len(dims) * len(rows)
+                else:
+                    part[able] += q[dims] @ own[np.ix_(dims, able)]
+                    looked += len(dims) * len(able)
+                n += len(dims)
+            able = able[part[able] >= threshold]
+            if touched is not None:
+                touched.append((min(len(by), max(1, split((high - low)[by], threshold - base))), len(rows), looked))
+            best, scores = np.concatenate([best, rows[able]]), np.concatenate([scores, part[able]])
+            if len(best) > k:
+                top = np.lexsort((ids[best], -scores))[:k]
+                best, scores = best[top], scores[top]
+            if len(best) == k:
+                threshold = max(threshold, scores.min())
+        top = np.lexsort((ids[best], -scores))[:k]
+        found.append((best[top], scores[top]))
     return found
 
 
@@ -129,12 +154,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "embed
     n, n_asked = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_asked // BLOCK))
     spark = vectors.sparkSession
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    seeds = [(r.vec_id, np.floor(np.array(r.v) * SCALE)) for r in rows.orderBy(norm.desc(), "vec_id").limit(SEEDS).collect()]
     left = checkpointed(_packed(rows, "shard", SHARD, n)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = checkpointed(_packed(asked, "block", BLOCK, n_asked)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     right = right.select("shard", "block", *(F.col(c).alias(f"q_{c}") for c in ("ids", "m", "width", "fits")))
     parts = min(shards * blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 8)
     met = left.repartition(parts, "shard", "block").join(right.repartition(parts, "shard", "block"), ["shard", "block"])
 
+    def first_to_beat(q: np.ndarray, query_ids: np.ndarray) -> np.ndarray:
+        """The k-th score of each query among the seeds, where floats are exact."""
+        width = max([q.shape[1], *(len(v) for _, v in seeds)])
+        m = np.zeros((len(seeds), width))
+        for i, (_, v) in enumerate(seeds):
+            m[i, : len(v)] = v
+        if not m.size or not q.size or float(np.abs(m).max()) * float(np.abs(q).max()) * width >= 2**52:
+            return np.full(len(q), -np.inf)
+        scores = np.pad(q, ((0, 0), (0, width - q.shape[1]))) @ m.T
+        scores[query_ids[:, None] == np.array([i for i, _ in seeds])[None, :]] = -np.inf
+        return np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -144,7 +183,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "embed
                 v = _matrix(value("m"), value("width"), value("fits"), width).reshape(len(ids), width)
                 q = _matrix(value("q_m"), value("q_width"), value("q_fits"), width).reshape(len(query_ids), width)
                 exact = not v.size or not q.size or float(np.abs(v).max()) * float(np.abs(q).max()) * width < 2**52
-                best = (max_score if exact else _exact)(q, query_ids, v, ids, k)
+                best = max_score(q, query_ids, v, ids, k, first_to_beat(q, query_ids)) if exact else _exact(q, query_ids, v, ids, k)
                 number = value("block") * (1 << 32)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -9,9 +9,9 @@ segment's expected number of chance equals, K n exp(-rate * score), says whether
 K and a logistic curve over the evidence of all segments are fitted on labelled rows that the
 log-odds have not seen.
 
-Learning takes a bounded sample of labelled rows, the ``LABELS`` least by a hash of doc_id, and
-keeps the ``TOKENS`` tokens of most weight; both are broadcast for that reason. Labels count only
-in learning; lang, source and doc_id are no inputs of a score. Texts are never shuffled.
+Learning takes a bounded sample of labelled rows, the ``LABELS`` least by a hash of doc_id; all
+tokens of that sample that tell the kinds apart are broadcast. Labels count only in learning; lang,
+source and doc_id are no inputs of a score. Texts are never shuffled. A null doc_id is in no fold.
 
 Tokens are runs of ASCII letters, digits, apostrophes and other than ASCII characters, in lower
 case for A-Z. Nulls and texts without tokens have no segments; their score is that of a text
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, mapped, slices, strings, table, word_hashes, word_spans
 
 LABELS = 100_000
-TOKENS = 50_000
 #: Weight of the prior in occurrences of an average token for each token of the sample's vocabulary.
 PRIOR = 0.5
 DRIFT = 0.15
@@ -164,8 +163,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS, most_tokens: int = TOKENS) -> Model:
-    """A model from the labelled rows outside the held-out fold; what reaches the driver is bounded by the two parameters."""
+def learn(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS) -> Model:
+    """A model from the labelled rows outside the held-out fold; what reaches the driver is bounded by their number."""
     rows = _labelled(docs, labels, most_labels)
     counted = _token_counts(rows.where("fold <> 4")).persist()
     n0, n1, v = counted.agg(F.sum("clean"), F.sum("toxic"), F.count("*")).first()
@@ -178,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS, most_to
         odds = F.log(y1 / (n1 + a0 - y1)) - F.log(y0 / (n0 + a0 - y0))
         scored = counted.withColumn("odds", odds).withColumn("sure", F.abs(F.col("odds")) - 1.96 * F.sqrt(1 / y1 + 1 / y0)).where("sure > 0")
         scored = scored.withColumn("score", F.signum("odds") * F.col("sure"))
-        best = scored.orderBy(F.col("sure").desc(), "h").limit(most_tokens).select("h", "score", "clean").toPandas()
+        best = scored.select("h", "score", "clean").toPandas()
         h = best["h"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
         scores = best["score"].to_numpy(float)
@@ -245,4 +244,4 @@ def passages(docs: DataFrame, model: Model, significant: float = SIGNIFICANT) ->
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = passages(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
