@@ -80,7 +80,7 @@ def average_request_bytes(requests: DataFrame) -> DataFrame:
     return requests.agg(F.coalesce(F.try_divide(F.sum("bytes"), F.count("*")), F.lit(0.0)).alias("avg_request_bytes"))
 
 
-def tuned(snapshot: DataFrame) -> DataFrame:
-    """Policy weights from miss_rate and avg_size_bytes of a statistics snapshot."""
+def tuned(snapshot: DataFrame, *carry: str) -> DataFrame:
+    """Policy weights from miss_rate and avg_size_bytes of a statistics snapshot, beside the columns ``carry``."""
     miss, size = F.coalesce("miss_rate", F.lit(0.1)), F.coalesce("avg_size_bytes", F.lit(1024.0))
-    return snapshot.select(F.round(1 + 5 * miss, 4).alias("w_miss"), F.round(F.least(F.greatest(size / 8192, F.lit(0.1)), F.lit(10.0)), 4).alias("w_mem"), F.lit(1.0).alias("w_reuse"), F.lit(1.0).alias("w_risk"))
+    return snapshot.select(*carry, F.round(1 + 5 * miss, 4).alias("w_miss"), F.round(F.least(F.greatest(size / 8192, F.lit(0.1)), F.lit(10.0)), 4).alias("w_mem"), F.lit(1.0).alias("w_reuse"), F.lit(1.0).alias("w_risk"))

@@ -75,9 +75,10 @@ def mget(requests: DataFrame, state: DataFrame) -> DataFrame:
     return asked.join(state.select("key", "size_bytes"), "key", "left").select("req", "position", "key", "size_bytes")
 
 
-def deletes(log: DataFrame) -> DataFrame:
-    """seq, key, removed (1 or 0) of every DEL."""
-    return versions(log).where("cmd = 'DEL'").select("seq", "key", hit().cast("long").alias("removed"))
+def deletes(log: DataFrame, indexed: bool = False) -> DataFrame:
+    """seq, key, removed (1 or 0) of every DEL. indexed: as in the second tier, whose index counts keys that are over but not collected."""
+    found = F.coalesce(F.col("version.cmd") == "SET", F.lit(False)) if indexed else hit()
+    return versions(log).where("cmd = 'DEL'").select("seq", "key", found.cast("long").alias("removed"))
 
 
 def without(state: DataFrame, keys: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from tidemark.functions import scalars as S
 from tidemark.model import MEMORY_LIMIT_BYTES, PARAM_BOUNDS, PolicyParams
 from tidemark.operators import artifacts as A
+from tidemark.operators import commands as C
 from tidemark.operators import metrics as M
 from tidemark.operators import policies as P
 from tidemark.operators import state as K
+from tidemark.operators import ticks as T
 from tidemark.sources.tables import artifact_log, command_log, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,14 +465,172 @@ def numeric_arguments(spark, sf):
     return table(spark, sf, "events").select("event_id", F.upper("event_type").alias("name"), S.unsigned(arg).alias("number"))
 
 
+# --- requests ---
+
+#: Requests by event_id modulo their number: arguments ({} is the event's id), the answer to a refused one. None is a malformed request.
+REQUESTS: list[tuple[list[str] | None, str | None]] = [
+    (["PING"], None),
+    (["ping", "extra"], None),
+    (["SET", "k{}", "v{}"], None),
+    (["SET", "k{}"], "SET key value [EX sec|PX ms] [OWNER name]"),
+    (["set", "k{}", "v", "EX", "{}"], None),
+    (["SET", "k{}", "v", "EX", "abc", "OWNER", "rag"], "invalid numeric argument"),
+    (["SET", "k{}", "v", "px", "{}", "OWNER", "rag"], None),
+    (["SET", "k{}", "v", "PX", "5", "EX", "7"], None),
+    (["SET", "k{}", "v", "FOO", "1", "OWNER"], None),
+    (["SET", "", "v"], None),
+    (["GET"], "GET key"),
+    (["MGET"], "MGET key [key...]"),
+    (["DEL"], "DEL key [key...]"),
+    (["EXPIRE", "k{}", "x"], "invalid numeric argument"),
+    (["EXPIRE", "k{}"], "EXPIRE key seconds"),
+    (["TTL", "k{}", "y"], "TTL key"),
+    (["CONFIG", "GET", "policy"], None),
+    (["CONFIG", "GET", "other"], "unsupported CONFIG GET"),
+    (["CONFIG", "SET", "POLICY", "lfu"], None),
+    (["CONFIG", "GET", "POLICY"], None),
+    (["CONFIG", "SET", "POLICY", "unheard"], None),
+    (["CONFIG", "SET", "POLICY"], "unsupported CONFIG SET"),
+    (["CONFIG"], "CONFIG GET|SET"),
+    (["AI.PUT", "prompt", "k{}"], "AI.PUT <type> <key> <meta_json> <payload_bytes>"),
+    (["AI.EMB.PUT", "e{}", "m1", "64", "float", "{}", "bytes"], None),
+    (["AI.EMB.PUT", "e{}", "m1", "64", "double", "10", "bytes"], "invalid vector header"),
+    (["AI.EMB.PUT", "e{}", "m1", "-1", "float", "10", "bytes"], "invalid numeric argument"),
+    (["AI.INVALIDATE", "SOME", "x"], "AI.INVALIDATE EPOCH|MODEL|PREFIX <value>"),
+    (["AI.TOP", "HOT", "many"], "invalid numeric argument"),
+    (["AI.TOP", "BEST"], "AI.TOP HOT|COSTLY [N]"),
+    (["AI.GET"], "AI.GET <key>"),
+    (["AI.EXPLAIN", "a", "b"], "AI.EXPLAIN <key>"),
+    (["FLUSH", "k{}"], "unknown command"),
+    ([], "empty command"),
+    (None, "malformed RESP"),
+]
+
+
+def _requests(spark, sf):
+    """seq, args of one request for each event."""
+    n = F.col("event_id").cast("string")
+    found = F.lit(None).cast("array<string>")
+    for i, (args, _) in enumerate(REQUESTS):
+        if args is not None:
+            made = F.array(*(n if a == "{}" else F.concat(F.lit(a.replace("{}", "")), n) if "{}" in a else F.lit(a) for a in args)).cast("array<string>")
+            found = F.when(F.col("event_id") % len(REQUESTS) == i, made).otherwise(found)
+    return table(spark, sf, "events").select(F.col("event_id").alias("seq"), found.alias("args"))
+
+
+_CASE = f"event_id % {len(REQUESTS)}"
+_ERRORS = f"CASE {_CASE} " + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(REQUESTS) if e) + " END"
+_NAMES = f"CASE {_CASE} " + " ".join(f"WHEN {i} THEN '{a[0].upper()}'" for i, (a, _) in enumerate(REQUESTS) if a) + " END"
+_CRLF = "chr(13) || chr(10)"
+
+
+@query(f"SELECT event_id AS seq, {_NAMES} AS command, {_ERRORS} AS error, CASE WHEN {_CASE} < 2 THEN '+PONG' || {_CRLF} WHEN {_CASE} IN (18, 20) THEN '+OK' || {_CRLF} WHEN {_ERRORS} IS NOT NULL THEN '-ERR ' || ({_ERRORS}) || {_CRLF} END AS reply FROM events")
+def request_dispatch(spark, sf):
+    return C.dispatched(_requests(spark, sf)).select("seq", "command", "error", "reply")
+
+
+@query(
+    f"""SELECT event_id AS seq, CASE {_CASE} WHEN 9 THEN '' ELSE 'k' || event_id END AS key, CAST(CASE {_CASE} WHEN 2 THEN 1 + length(CAST(event_id AS VARCHAR)) ELSE 1 END AS BIGINT) AS size_bytes,
+CAST(CASE {_CASE} WHEN 4 THEN event_id * 1000 WHEN 6 THEN event_id WHEN 7 THEN 7000 END AS BIGINT) AS ttl_ms, CASE {_CASE} WHEN 6 THEN 'rag' ELSE 'default' END AS owner,
+CASE {_CASE} WHEN 9 THEN 'invalid key length' END AS error FROM events WHERE {_CASE} IN (2, 4, 6, 7, 8, 9)"""
+)
+def set_options(spark, sf):
+    return C.writes(_requests(spark, sf)).drop("value")
+
+
+@query(f"""SELECT event_id AS seq, 'e' || event_id AS key, '{{"artifact_type":"embedding","owner":"vector","schema_version":"v1","model_id":"m1","dim":64,"dtype":"float","ttl_deadline":' || (event_id * 1000) || '}}' AS meta_json, 'bytes' AS payload FROM events WHERE {_CASE} = 24""")
+def vector_puts(spark, sf):
+    return C.vector_puts(_requests(spark, sf))
+
+
+@query(
+    f"""WITH c AS (SELECT event_id AS seq, {_CASE} AS i, last_value(CASE {_CASE} WHEN 18 THEN 'lfu' WHEN 20 THEN 'cost' END IGNORE NULLS) OVER (ORDER BY event_id) AS p FROM events)
+SELECT seq, coalesce(p, 'cost') AS policy, '*2' || {_CRLF} || '$6' || {_CRLF} || 'policy' || {_CRLF} || '$' || length(coalesce(p, 'cost')) || {_CRLF} || coalesce(p, 'cost') || {_CRLF} AS reply FROM c WHERE i IN (16, 19)"""
+)
+def config_policy(spark, sf):
+    return C.policy_in_force(_requests(spark, sf))
+
+
+@query(f"SELECT count(*) AS request_count, count(*) FILTER ({_ERRORS} IS NOT NULL OR {_CASE} = 9) AS rejected_requests FROM events")
+def rejected_requests(spark, sf):
+    return C.request_counters(_requests(spark, sf))
+
+
+# --- ticks and the second tier ---
+
+
+@query(f"WITH {LOG}, w AS (SELECT seq, key, cmd, lag(cmd) OVER (PARTITION BY key ORDER BY seq) AS before FROM log WHERE cmd <> 'GET') SELECT seq, key, CAST(coalesce(before = 'SET', false) AS BIGINT) AS removed FROM w WHERE cmd = 'DEL'")
+def ssd_del_removed(spark, sf):
+    """What DEL counts in the second tier, whose index ignores deadlines."""
+    return K.deletes(command_log(spark, sf), indexed=True)
+
+
+_QUEUE = f"{LOG}, q AS (SELECT seq, ts_ms // 3600000 AS tick, row_number() OVER (ORDER BY seq) - 1 AS k FROM log WHERE cmd = 'SET'), s AS (SELECT seq, tick, (max(tick * 4 - k) OVER (ORDER BY seq) + k) // 4 AS served FROM q)"
+
+
+def _queue(spark, sf):
+    sets = command_log(spark, sf).where("cmd = 'SET'")
+    return T.served(sets.select("seq", F.floor(F.col("ts_ms") / 3_600_000).alias("tick")), 4, slice_rows=1000)
+
+
+@query(f"WITH {_QUEUE} SELECT seq, tick, CAST(served AS BIGINT) AS served FROM s")
+def tier_work_served(spark, sf):
+    """In which hour a queue with a budget of four an hour comes to each write."""
+    return _queue(spark, sf)
+
+
+@query(f"WITH {_QUEUE}, t AS (SELECT DISTINCT tick FROM s) SELECT tick, (SELECT count(*) FROM s WHERE s.tick <= t.tick AND s.served > t.tick) AS tier_backlog FROM t")
+def tier_backlog(spark, sf):
+    return T.backlog(_queue(spark, sf))
+
+
+@query(f"WITH {SEEN} SELECT key, deadline_ms FROM entries WHERE deadline_ms <= (SELECT max(ts_ms) FROM log) ORDER BY deadline_ms, key LIMIT 8")
+def ssd_expired_first(spark, sf):
+    """What one tick with a budget of eight drops from the second tier's index."""
+    log = command_log(spark, sf)
+    index = K.entries(log).join(F.broadcast(K.as_of(log)))
+    return T.expired_first(index, F.col("as_of_ms"), 8).select("key", "deadline_ms")
+
+
+@query(f"WITH {SEEN}, u AS (SELECT CAST(sum(size_bytes) AS BIGINT) AS used FROM state) SELECT key, used FROM u, (SELECT key FROM state ORDER BY last_access_ms, key LIMIT 1) WHERE used / 1000.0 >= 0.9")
+def demotion_victim(spark, sf):
+    """The one entry that a tick queues for the second tier, if memory is under pressure with a limit of 1000 bytes."""
+    state = _state(spark, sf)
+    used = state.agg(F.sum("size_bytes").alias("used")).where(T.demotion_due(F.col("used"), F.lit(1000)))
+    return P.next_victim(state, "lru").select("key").join(F.broadcast(used))
+
+
+@query(f"WITH {LOG}, w AS (SELECT seq, ts_ms, row_number() OVER (PARTITION BY ts_ms // 1000 ORDER BY seq) AS nth FROM log WHERE cmd <> 'GET') SELECT mode, seq FROM w, (SELECT unnest(['never', 'everysec', 'always']) AS mode) WHERE mode = 'always' OR (mode = 'everysec' AND nth = 1)")
+def durability_syncs(spark, sf):
+    appends = command_log(spark, sf).where("cmd <> 'GET'").select("seq", "ts_ms")
+    one = lambda m: T.synced(appends, m).select(F.lit(m).alias("mode"), "seq")
+    return one("never").union(one("everysec")).union(one("always"))
+
+
 # --- tuning and benchmarks ---
 
 
-@query(f"WITH {SEEN} SELECT owner, round(1 + 5 * avg(CAST(NOT hit AS INTEGER)), 3) AS w_miss, 1.0 AS w_reuse FROM reads WHERE cmd = 'GET' GROUP BY owner")
+@query(
+    f"""WITH {SEEN}, m AS (SELECT owner, avg(CAST(NOT hit AS INTEGER)) AS miss, avg(vsize) FILTER (hit) AS size FROM reads WHERE cmd = 'GET' GROUP BY owner)
+SELECT owner, round(1 + 5 * miss, 4) AS w_miss, round(greatest(0.1, least(10.0, coalesce(size, 1024) / 8192)), 4) AS w_mem, 1.0 AS w_reuse, 1.0 AS w_risk FROM m"""
+)
 def tuner_weights(spark, sf):
-    miss = K.reads(command_log(spark, sf)).groupBy("owner").agg(F.avg((~F.col("hit")).cast("double")).alias("miss_rate"))
-    rows = miss.withColumn("avg_size_bytes", F.lit(1024.0))
-    return rows.select("owner", F.round(1 + 5 * F.col("miss_rate"), 3).alias("w_miss"), F.lit(1.0).alias("w_reuse"))
+    miss = K.reads(command_log(spark, sf)).groupBy("owner").agg(F.avg((~F.col("hit")).cast("double")).alias("miss_rate"), F.avg("size_bytes").alias("avg_size_bytes"))
+    return M.tuned(miss, "owner")
+
+
+@query(
+    f"""WITH {SEEN}, m AS (SELECT owner, avg(CAST(NOT hit AS INTEGER)) AS miss FROM reads WHERE cmd = 'GET' GROUP BY owner)
+SELECT owner, 'tuner-v1' AS version, round(1 + 5 * miss, 4) AS w_miss, 0.85 AS evict_pressure, 50000 AS max_evictions, 0.7 AS premium_prior, 1000.0 AS w_risk_most FROM m"""
+)
+def tuner_output(spark, sf):
+    """The tuner's file for each owner, read back by its members."""
+    from tidemark.sources.files import tuned_json
+
+    miss = K.reads(command_log(spark, sf)).groupBy("owner").agg(F.avg((~F.col("hit")).cast("double")).alias("miss_rate"), F.lit(1024.0).alias("avg_size_bytes"))
+    texts = tuned_json(M.tuned(miss, "owner"), "owner")
+    member = lambda path, kind: F.get_json_object("value", f"$.{path}").cast(kind)
+    return texts.select("owner", member("version", "string").alias("version"), member("weights.w_miss", "double").alias("w_miss"), member("thresholds.evict_pressure", "double").alias("evict_pressure"), member("guardrails.max_evictions_per_second", "int").alias("max_evictions"), member("per_owner_priors.premium.p_reuse_prior", "double").alias("premium_prior"), member("ranges.w_risk[1]", "double").alias("w_risk_most"))
 
 
 @query("SELECT event_id, greatest(0.0, least(1000.0, value - 100)) AS w_mem, greatest(0.1, least(1.0, value / 300)) AS evict_pressure FROM events")

@@ -29,10 +29,27 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("miss_rate", F.lit(0.1)).alias("miss_rate"), F.coalesce("avg_size_bytes", F.lit(1024.0)).alias("avg_size_bytes"))
 
 
+# What a file of tuned parameters holds beside the weights.
+TUNED_VERSION = "tuner-v1"
+TUNED_THRESHOLDS = {"admit_threshold": 0.0, "evict_pressure": 0.85}
+TUNED_GUARDRAILS = {"max_evictions_per_second": 50_000, "max_admissions_per_second": 50_000}
+TUNED_PRIORS = {"default": 0.5, "premium": 0.7}
+TUNED_RANGES = {"w_miss": (0.0, 1000.0), "w_reuse": (0.0, 1000.0), "w_mem": (0.0, 1000.0), "w_risk": (0.0, 1000.0), "evict_pressure": (0.1, 1.0)}
+
+
+def tuned_json(weights: DataFrame, *carry: str) -> DataFrame:
+    """One JSON text (value) for each row of ``weights``, beside the columns ``carry``: version, weights, thresholds, guardrails, priors of owners, ranges."""
+    fixed = lambda values: F.struct(*(F.lit(v).alias(k) for k, v in values.items()))
+    priors = F.struct(*(F.struct(F.lit(v).alias("p_reuse_prior")).alias(k) for k, v in TUNED_PRIORS.items()))
+    ranges = F.struct(*(F.array(*map(F.lit, v)).alias(k) for k, v in TUNED_RANGES.items()))
+    names = ("w_miss", "w_reuse", "w_mem", "w_risk")
+    parts = [F.lit(TUNED_VERSION).alias("version"), F.struct(*names).alias("weights"), fixed(TUNED_THRESHOLDS).alias("thresholds"), fixed(TUNED_GUARDRAILS).alias("guardrails"), priors.alias("per_owner_priors"), ranges.alias("ranges")]
+    return weights.select(*carry, F.to_json(F.struct(*parts)).alias("value"))
+
+
 def save_tuned(weights: DataFrame, path: str) -> None:
     """Tuned parameters as JSON text."""
-    guard = {"admit_threshold": 0.0, "evict_pressure": 0.8, "max_evictions_per_second": 10_000, "max_admissions_per_second": 10_000, "owner_cap_bytes": 0}
-    weights.select(F.to_json(F.struct(*weights.columns, *(F.lit(v).alias(k) for k, v in guard.items()), F.lit("tuned").alias("version"))).alias("value")).write.mode("overwrite").text(path)
+    tuned_json(weights).write.mode("overwrite").text(path)
 
 
 def parse_report(reports: DataFrame, column: str = "report") -> DataFrame:

@@ -12,7 +12,8 @@ from tidemark.functions.scalars import fnv64
 from tidemark.model import FNV32_BASIS, FNV32_PRIME, FNV64_BASIS
 from tidemark.session import ship
 
-MAGIC = 0x54494445
+# Fixed value: what a record begins with.
+MAGIC = 0x504D3443
 #: magic, checksum, key hash, seq, next offset, ttl, key length, value length, tombstone, reserved: 56 bytes.
 HEADER = struct.Struct("<IIQQQqIIB7s")
 
