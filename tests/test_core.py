@@ -12,7 +12,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import policies as P
 from tidemark.operators import state as K
 from tidemark.operators import store
-from tidemark.operators.replay import Cache, fold, replay, token_bucket
+from tidemark.operators.replay import Cache, counters, fold, replay, token_bucket
 from tidemark.sources import files, segments
 from tidemark.sources.generators import artifact_workload, workload
 from tidemark.sources.resp import MALFORMED, Parser
@@ -85,8 +85,8 @@ def test_top_hits_and_info(spark):
     rows = [(i, k, "SET", 8, None, "default") for i, k in enumerate("xyz")] + [(5, "y", "GET", None, None, "default"), (6, "z", "GET", None, None, "default"), (7, "z", "GET", None, None, "default")]
     log = log_of(spark, rows)
     assert M.top_hits(K.live_entries(log)).first()[0] == "z:2,y:1,x:0"
-    lines = M.info(log, K.live_entries(log), K.reads(log), 2048, "lfu", "v").orderBy("line").collect()
-    assert len(lines) == 28 and lines[0]["value"] == "lfu" and lines[-1]["value"] == "z:2,y:1,x:0"
+    lines = M.info(log, K.live_entries(log), counters(log, "lfu", 2048), 2048, "lfu", "v").orderBy("line").collect()
+    assert len(lines) == 26 and lines[0]["value"] == "lfu" and lines[-1]["value"] == "z:2,y:1,x:0"
 
 
 def test_victims_free_until_the_rest_fits(spark):
@@ -166,6 +166,17 @@ def test_params_and_reports(spark, tmp_path):
     assert report == {"hits": "3", "name": "a:b"}
 
 
+def test_tuned_file(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    snapshot = spark.range(1).select(F.lit(0.2).alias("miss_rate"), F.lit(4096.0).alias("avg_size_bytes"))
+    got = json.loads(files.tuned_json(M.tuned(snapshot)).first()["value"])
+    assert got["version"] == "tuner-v1" and got["weights"] == {"w_miss": 2.0, "w_reuse": 1.0, "w_mem": 0.5, "w_risk": 1.0}
+    assert got["thresholds"] == {"admit_threshold": 0.0, "evict_pressure": 0.85} and got["ranges"]["evict_pressure"] == [0.1, 1.0] and got["per_owner_priors"]["premium"] == {"p_reuse_prior": 0.7}
+
+
 def test_segments_recover_to_the_first_bad_record(spark, tmp_path):
     data = b"".join(segments.pack(i, f"k{i % 3}".encode(), b"v" * i, tombstone=i == 5) for i in range(8))
     (tmp_path / "segment_1.log").write_bytes(data)
@@ -195,7 +206,25 @@ def test_cache_rules():
     s.set("big", 128, "default", None, 0)
     s.set("x", 40, "default", None, 1)
     s.set("y", 40, "default", None, 2)
-    assert set(s.ssd) == {"big", "x"} and [s.get("x", i) for i in range(3)] == ["hit"] * 3 and "x" in s.ram and s.get("big", 9) == "hit"
+    assert set(s.ssd) == {"big"} and list(s.demote) == ["x"]
+    s.tick(2)
+    assert set(s.ssd) == {"big", "x"} and set(s.ram) == {"y"} and s.stats["demotions"] == s.stats["evictions"] == 1
+    assert [s.get("x", i) for i in range(2, 5)] == ["hit"] * 3 and list(s.promote) == ["x"]
+    assert s.get("big", 9) == "hit" and set(s.ram) == {"x"} and set(s.ssd) == {"big", "y"} and s.stats["promotions"] == 1
+
+
+def test_second_tier_ends_and_budgets():
+    c = Cache(CacheConfig(policy="lru", ssd_enabled=True, ssd_value_min_bytes=10, ttl_cleanup_per_tick=2, ssd_max_bytes=100))
+    for i in range(5):
+        assert c.set(f"k{i}", 20, "default", 10, 0) == ("ok", 0)
+    assert c.set("more", 20, "default", None, 0)[0] == "rejected" and c.ssd_used == 100
+    assert c.get("k4", 20) == "miss" and len(c.ssd) == 3 and c.expire("k4", 90, 20) == "absent" and len(c.ssd) == 1
+    assert c.set("a", 20, "default", None, 30) == ("ok", 0) and c.left("a", 30) == "-1" and c.expire("a", 5030, 31) == "moved" and c.left("a", 31) == "4" and c.left("b", 31) == "-2"
+    slow = Cache(CacheConfig(policy="lru", ssd_enabled=True, ssd_value_min_bytes=10, ssd_write_mb_per_s=30 / 2**20))
+    assert [slow.set(f"k{i}", 20, "default", None, t)[0] for i, t in enumerate((0, 0, 1000))] == ["ok", "rejected", "ok"]
+    e = Cache(CacheConfig(policy="lru"))
+    rows = [(1, 0, "a", "SET", 5, "o", None), (2, 1, "a", "EXPIRE", None, None, 50), (3, 2, "a", "TTL", None, None, None), (4, 60, "a", "GET", None, None, None), (5, 61, "a", "EXPIRE", None, None, 99)]
+    assert [(r[1], r[3]) for r in fold(iter(rows), e)] == [("ok", 0), ("moved", 0), ("0", 0), ("miss", 1), ("absent", 0)]
 
 
 def test_replay_equals_the_fold_and_the_query(spark):
@@ -206,7 +235,7 @@ def test_replay_equals_the_fold_and_the_query(spark):
         got = [(r.seq, r.outcome, r.memory_used) for r in replay(log, policy, 200).orderBy("seq").collect()]
         plain = [(r.seq, r.ts_ms, r.key, r.cmd, r.size_bytes, r.owner, r.deadline_ms) for r in log.orderBy("seq").collect()]
         want = list(fold(iter(plain), Cache(CacheConfig(policy=policy, memory_limit_bytes=200))))
-        assert got == [(s, o, m) for s, o, _, _, m in want]
+        assert got == [(x[0], x[1], x[4]) for x in want]
     # without a limit the fold is the query
     free = {r.seq: r.outcome == "hit" for r in replay(log, "lru", 1 << 30).where("outcome IN ('hit', 'miss')").collect()}
     assert free == {r.seq: r.hit for r in K.reads(log).collect()}

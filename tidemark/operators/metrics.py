@@ -32,35 +32,21 @@ def top_hits(state: DataFrame, n: int = 5) -> DataFrame:
     return listed.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), ",").alias("topk_hits"))
 
 
-def info(log: DataFrame, state: DataFrame, reads: DataFrame, memory_limit: int, policy: str, version: str) -> DataFrame:
-    """The report as rows line, name, value, in the protocol's order."""
-    from tidemark.operators.state import entries
-
-    used = overhead(state).crossJoin(state.agg(F.count("*").alias("keys")))
-    counted = reads.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
-    now = log.agg(F.max("ts_ms").alias("now"))
-    over = entries(log).join(F.broadcast(now)).agg(F.count_if(F.col("deadline_ms") <= F.col("now")).alias("backlog"))
-    row = used.crossJoin(counted).crossJoin(over).crossJoin(top_hits(state))
+def info(log: DataFrame, state: DataFrame, counted: DataFrame, memory_limit: int, policy: str, version: str) -> DataFrame:
+    """The report as rows line, name, value, in the protocol's order.
+
+    counted: name, value of the replay's counters. Times of compaction and of the index rebuild are
+    left out: they are facts of a running store, not of a log.
+    """
+    names = ["keys", "memory_used_bytes", "expiration_backlog", "hits", "misses", "evictions", "expirations", "admissions_rejected", "ram_bytes", "ssd_bytes", "ssd_gets", "ssd_hits", "ssd_misses", "promotions", "demotions", "ssd_read_mb", "ssd_write_mb", "tier_backlog"]
+    names += ["ssd_gc_runs", "ssd_gc_bytes_reclaimed", "fragmentation_estimate"]
+    values = counted.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in [*names, "ssd_log_bytes"] if n != "fragmentation_estimate"))
+    values = values.withColumn("fragmentation_estimate", F.round(F.coalesce(F.try_divide(F.col("ssd_log_bytes") - F.col("ssd_bytes"), F.col("ssd_log_bytes")), F.lit(0.0)), 4))
+    row = values.crossJoin(overhead(state).select("memory_overhead_ratio")).crossJoin(top_hits(state))
     text = lambda c: F.col(c).cast("string")
-    zero = F.lit("0")
-    pairs = [
-        ("policy_mode", F.lit(policy)),
-        ("policy_params_version", F.lit(version)),
-        ("keys", text("keys")),
-        ("memory_used_bytes", text("memory_used_bytes")),
-        ("memory_limit_bytes", F.lit(str(memory_limit))),
-        ("memory_overhead_ratio", F.round("memory_overhead_ratio", 4).cast("string")),
-        ("expiration_backlog", text("backlog")),
-        ("hits", text("hits")),
-        ("misses", text("misses")),
-        ("evictions", zero),
-        ("expirations", text("backlog")),
-        ("admissions_rejected", zero),
-        ("ram_bytes", text("memory_used_bytes")),
-        *((name, zero) for name in ("ssd_bytes", "ssd_gets", "ssd_hits", "ssd_misses", "promotions", "demotions", "ssd_read_mb", "ssd_write_mb", "tier_backlog", "ssd_gc_runs", "ssd_gc_bytes_reclaimed", "ssd_gc_time_ms", "fragmentation_estimate", "ssd_index_rebuild_ms")),
-        ("topk_hits", text("topk_hits")),
-    ]
-    lines = F.array(*(F.struct(F.lit(i).alias("line"), F.lit(name).alias("name"), value.alias("value")) for i, (name, value) in enumerate(pairs, 1)))
+    order = ["policy_mode", "policy_params_version", *names[:2], "memory_limit_bytes", "memory_overhead_ratio", *names[2:], "topk_hits"]
+    given = {"policy_mode": F.lit(policy), "policy_params_version": F.lit(version), "memory_limit_bytes": F.lit(str(memory_limit)), "memory_overhead_ratio": F.round("memory_overhead_ratio", 4).cast("string")}
+    lines = F.array(*(F.struct(F.lit(i).alias("line"), F.lit(name).alias("name"), given.get(name, text(name)).alias("value")) for i, name in enumerate(order, 1)))
     return row.select(F.inline(lines))
 
 

@@ -199,20 +199,53 @@ def top_keys_by_hits(spark, sf):
 
 _INFO_SQL = f"""WITH {SEEN}, c AS (SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM reads WHERE cmd = 'GET'),
 b AS (SELECT count(*) AS n FROM entries WHERE deadline_ms <= (SELECT max(ts_ms) FROM log)), m AS (SELECT count(*) AS keys, sum(size_bytes) AS used FROM state)
-SELECT line, name, value FROM (
+SELECT name, value FROM (
     SELECT 3 AS line, 'keys' AS name, CAST(keys AS VARCHAR) AS value FROM m UNION ALL SELECT 4, 'memory_used_bytes', CAST(used AS VARCHAR) FROM m
     UNION ALL SELECT 7, 'expiration_backlog', CAST(n AS VARCHAR) FROM b UNION ALL SELECT 8, 'hits', CAST(hits AS VARCHAR) FROM c UNION ALL SELECT 9, 'misses', CAST(misses AS VARCHAR) FROM c)"""
 
 
-@query()
+_ENDED = f"""{SEEN}, nx AS (SELECT *, lead(ts_ms) OVER (PARTITION BY key ORDER BY seq) AS next_ms FROM log WHERE cmd <> 'GET'), mx AS (SELECT max(ts_ms) AS t FROM log),
+x AS (SELECT count(*) AS n FROM nx, mx WHERE ts_ms + ttl_ms <= t AND (next_ms IS NULL OR next_ms >= ts_ms + ttl_ms)),
+k AS (SELECT count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS b FROM state), g AS (SELECT count(*) FILTER (hit) AS h, count(*) FILTER (NOT hit) AS m FROM reads WHERE cmd = 'GET'),
+top AS (SELECT string_agg(key || ':' || hit_count, ',' ORDER BY hit_count DESC, key) AS s FROM (SELECT * FROM state ORDER BY hit_count DESC, key LIMIT 5)),
+lines AS (SELECT unnest([{{'name': 'policy_mode', 'value': 'lru'}}, {{'name': 'policy_params_version', 'value': 'defaults-v1'}}, {{'name': 'memory_limit_bytes', 'value': '67108864'}},
+{{'name': 'keys', 'value': CAST(k.n AS VARCHAR)}}, {{'name': 'memory_used_bytes', 'value': CAST(k.b AS VARCHAR)}}, {{'name': 'ram_bytes', 'value': CAST(k.b AS VARCHAR)}}, {{'name': 'hits', 'value': CAST(g.h AS VARCHAR)}}, {{'name': 'misses', 'value': CAST(g.m AS VARCHAR)}},
+{{'name': 'expirations', 'value': CAST(x.n AS VARCHAR)}}, {{'name': 'topk_hits', 'value': top.s}}]) AS l FROM k, g, x, top),
+none AS (SELECT unnest(['expiration_backlog', 'evictions', 'admissions_rejected', 'ssd_bytes', 'ssd_gets', 'ssd_hits', 'ssd_misses', 'promotions', 'demotions', 'ssd_read_mb', 'ssd_write_mb', 'tier_backlog', 'ssd_gc_runs', 'ssd_gc_bytes_reclaimed']) AS name)"""
+
+
+@query(f"WITH {_ENDED} SELECT l.name AS name, l.value AS value FROM lines UNION ALL SELECT name, '0' FROM none UNION ALL SELECT 'fragmentation_estimate', '0.0'")
 def info_report(spark, sf):
+    """The report of a cache that never fills and has no second tier, all lines from the replay's counters."""
+    from tidemark.operators.replay import counters
+
+    log = command_log(spark, sf)
+    report = M.info(log, K.live_entries(log), counters(log, "lru", MEMORY_LIMIT_BYTES), MEMORY_LIMIT_BYTES, "lru", PolicyParams().version)
+    return report.where("name <> 'memory_overhead_ratio'").select("name", "value")
+
+
+@query()
+def info_under_pressure(spark, sf):
+    """The same lines for a small cache with a second tier."""
+    from tidemark.model import CacheConfig
+    from tidemark.operators.replay import counters
+
     log = command_log(spark, sf)
-    return M.info(log, K.live_entries(log), K.reads(log), MEMORY_LIMIT_BYTES, "cost", PolicyParams().version)
+    tiered = CacheConfig(ssd_enabled=True, ssd_value_min_bytes=2000)
+    return M.info(log, K.live_entries(log), counters(log, "lru", 20_000, config=tiered), 20_000, "lru", PolicyParams().version)
 
 
 @query(_INFO_SQL)
 def info_counters(spark, sf):
-    return info_report(spark, sf).where(F.col("name").isin("keys", "memory_used_bytes", "expiration_backlog", "hits", "misses"))
+    """The same facts from the log as a set, without a replay."""
+    log = command_log(spark, sf)
+    reads, now = K.reads(log), K.as_of(log)
+    counted = reads.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    over = K.entries(log).join(F.broadcast(now)).agg(F.count_if(F.col("deadline_ms") <= F.col("as_of_ms")).alias("expiration_backlog"))
+    row = M.overhead(K.live_entries(log)).crossJoin(K.live_entries(log).agg(F.count("*").alias("keys"))).crossJoin(counted).crossJoin(over)
+    names = ("keys", "memory_used_bytes", "expiration_backlog", "hits", "misses")
+    lines = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names))
+    return row.select(F.inline(lines))
 
 
 # --- policies ---
