@@ -718,14 +718,20 @@ def replay_cost(spark, sf):
     return _replay(spark, sf, "cost")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LOG}, q AS (SELECT owner, seq, ts_ms, CAST(size_bytes AS DOUBLE) AS n, row_number() OVER (PARTITION BY owner ORDER BY seq) AS k FROM log WHERE cmd = 'SET'),
+r AS (SELECT owner, k, seq, ts_ms, CASE WHEN n <= 1 THEN 1 - n ELSE CAST(1 AS DOUBLE) END AS left_, n <= 1 AS allowed FROM q WHERE k = 1
+    UNION ALL SELECT q.owner, q.k, q.seq, q.ts_ms, t.t - CASE WHEN q.n <= t.t THEN q.n ELSE CAST(0 AS DOUBLE) END, q.n <= t.t
+    FROM r JOIN q ON q.owner = r.owner AND q.k = r.k + 1, LATERAL (SELECT least(CAST(1 AS DOUBLE), r.left_ + (q.ts_ms - r.ts_ms) / CAST(1000 AS DOUBLE)) AS t) AS t)
+SELECT owner AS bucket, seq, allowed FROM r"""
+)
 def replay_token_bucket(spark, sf):
     from tidemark.operators.replay import token_bucket
 
     return token_bucket(command_log(spark, sf).where("cmd = 'SET'"), bytes_per_second=1.0)
 
 
-@query()
+@query(f"WITH {SEEN} SELECT key, seq, cmd, CASE WHEN cmd <> 'SET' THEN hit END AS hit, false AS expired FROM reads")
 def stream_ttl_state(spark, sf):
     from tidemark.streaming.state import run_available
 
