@@ -145,19 +145,50 @@ def test_class_model(spark):
 
 
 def test_class_model_is_a_distribution(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"a{(i * k) % 9}" for k in range(12))) for i in range(30)], DOCS)
+    docs = spark.createDataFrame([(i, " ".join(f"a{(i * k) % 9}" for k in range(12)) + f" once{i % 20}") for i in range(30)], DOCS)
     counts = class_lm.word_counts(docs)
-    model = class_lm.learn(docs, counts, clustered=5, counted=7, n_classes=3)
-    m, floor = len(model.classes) - 2, model.tokens + model.types + 1
-    rare = dict(zip(model.known.tolist(), model.counts.tolist(), strict=True))
-    known = [(int(c), int(k)) for c, k in zip(model.counts, model.numbers, strict=True)]
-    others = [r.n for r in counts.where("h <> 0").collect() if int(np.int64(r.h).view(np.uint64)) not in rare]
-    for before in set(model.classes.tolist()):
-        total = 0.0
-        for c, k in [*known, *((c, m) for c in others), (0, m), (model.ends, m + 1)]:
-            word = model.emission[k] * ((c + 1) if k == m else 1)
-            total += class_lm.SHARE * model.transition[before, model.classes[k]] * word + (1 - class_lm.SHARE) * (c + 1) / floor
-        assert total == pytest.approx(1.0, abs=1e-9)
+    model, words = class_lm.learn(docs, counts, core=3, known=5, n_classes=3)
+    all_words = [(int(n), int(c)) for n, c in zip(model.counts, model.classes, strict=True)] + [(r.n, r.c) for r in words.collect()]
+    assert len(all_words) == 29 and sorted(n for n, _ in all_words)[:11] == [1] * 10 + [2]
+    assert all((c == model.rest) == (n < class_lm.SEEN) for n, c in all_words)
+    n, c = (np.array([*x, last]) for x, last in zip(zip(*all_words, (0, model.rest), strict=True), (model.ends, model.rest + 1), strict=True))
+    for before in range(len(model.mass)):
+        assert model.probability(np.full(len(n), before), c, n).sum() == pytest.approx(1.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("known", [0, 12, 10_000])
+def test_class_model_scores_of_words_that_are_joined(spark, known):
+    """Scores are those of the formula, wherever counts and classes of words come from."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{'ab'[k % 2]}{int(rng.paretovariate(0.7)) % 500}" for k in range(rng.randint(0, 40))) for _ in range(150)]
+    texts += [None, "", "unseen " * 5 + "a1 unseen b1", "a1 b1 " * 30_000, "unseen " * 20_000]
+    docs = spark.createDataFrame([(1 if i > 145 else i, t) for i, t in enumerate(texts)], DOCS).repartition(3)
+    training = F.col("text").isNull() | ~F.col("text").contains("unseen")
+    counts = class_lm.word_counts(docs.where(training))
+    model, words = class_lm.learn(docs.where(training), counts, core=10, known=10_000, n_classes=4)
+    assert words.count() == 0
+    hashes = lambda t: class_lm._words(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0].tolist()
+    at = {int(h): (int(c), int(n)) for h, c, n in zip(model.known, model.classes, model.counts, strict=True)}
+    end = (model.rest + 1, model.ends)
+    bigrams = collections.Counter()
+    want = []
+    with np.errstate(over="ignore"):
+        for t in texts:
+            own = [*(at.get(h, (model.rest, 0)) for h in hashes(t)), end]
+            for a, b in zip([end, *own], own):
+                if "unseen" not in (t or ""):
+                    bigrams[a[0], b[0]] += 1
+            p = [math.log10(float(model.probability(np.array([a[0]]), np.array([b[0]]), np.array([b[1]]))[0])) for a, b in zip([end, *own], own)] if len(own) < 1000 else None
+            want.append((len(own), p and sum(p)))
+    k = model.rest + 2
+    pairs = np.array([[bigrams[a, b] for b in range(k)] for a in range(k)], float)
+    prior = (pairs.sum(axis=0) + 1) / (pairs.sum() + k)
+    assert np.allclose(model.transition, (pairs + class_lm.PRIOR * prior) / (pairs.sum(axis=1, keepdims=True) + class_lm.PRIOR))
+    got = collections.Counter((r.n_tokens, round(r.score, 6)) for r in class_lm.score_all(docs, training, core=10, known=known, n_classes=4).collect())
+    assert sum(got.values()) == len(texts)
+    short = collections.Counter((n, round(p, 6)) for n, p in want if p is not None)
+    assert all(any(n == a and abs(p - b) < 1e-5 for a, b in got) for n, p in short)
+    assert {n for n, p in want if p is None} == {n for n, _ in got if n >= 1000}
 
 
 def test_class_model_without_training_rows(spark):
