@@ -259,3 +259,25 @@ def test_library_does_not_import_the_training_operators():
 
     top = pathlib.Path(tidemark.__file__).parent
     assert not [p for p in top.rglob("*.py") if "llm" not in p.parts and "tidemark.llm" in p.read_text()]
+
+
+def test_start_up_options():
+    from tidemark.model import configured
+
+    config, others = configured(["x", "--memory", "1000", "--ssd-enabled", "--policy", "lru", "--policy", "lfu", "--port", "7000", "--demotion-pressure", "0.5", "--fsync"])
+    assert (config.memory_limit_bytes, config.ssd_enabled, config.policy, config.demotion_pressure) == (1000, True, "lfu", 0.5)
+    assert others == {"port": "7000"} and configured([]) == (CacheConfig(), {})
+
+
+def test_reads_of_artifacts_need_a_live_key_and_a_live_blob(spark):
+    keys = spark.createDataFrame([("a", "1", None), ("b", "1", 50), ("c", "2", None), ("d", "9", None)], "key string, blob_hash string, expires_ms long")
+    content = spark.createDataFrame([("1", 7, None), ("2", 8, 100)], "blob_hash string, size_bytes long, expires_ms long")
+    asked = spark.createDataFrame([(1, "a", 60), (2, "b", 49), (3, "b", 50), (4, "c", 99), (5, "c", 100), (6, "d", 0), (7, "e", 0), (8, None, 0)], "req long, key string, now_ms long")
+    got = {r.req: (r.hit, r.payload_bytes, r.engine_hits) for r in A.get_live(asked, keys, content).collect()}
+    assert got == {1: (True, 7, 2), 2: (True, 7, 2), 3: (False, None, 0), 4: (True, 8, 2), 5: (False, None, 1), 6: (False, None, 1), 7: (False, None, 0), 8: (False, None, 0)}
+
+
+def test_report_of_an_empty_artifact_layer(spark):
+    puts = spark.createDataFrame([], "key string, type string, blob_hash string")
+    lines = A.stats_lines(puts, spark.createDataFrame([], "hit boolean")).orderBy("nr").collect()
+    assert [r.line for r in lines] == ["puts:0", "gets:0", "hits:0", "misses:0", "dedup_hits:0", "blob_count:0"]

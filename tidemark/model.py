@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # Limits and defaults of the cache protocol and engine.
 MEMORY_LIMIT_BYTES = 64 << 20
@@ -76,3 +76,39 @@ class CacheConfig:
     tier_work_per_tick: int = TIER_WORK_PER_TICK
     policy: str = "cost"
     params: PolicyParams = PolicyParams()
+
+
+# Start-up options, and what of the configuration each sets.
+OPTIONS = {
+    "--memory": ("memory_limit_bytes", int),
+    "--policy": ("policy", str),
+    "--ssd-value-min-bytes": ("ssd_value_min_bytes", int),
+    "--ssd-max-bytes": ("ssd_max_bytes", int),
+    "--promotion-hits": ("promotion_hits", int),
+    "--demotion-pressure": ("demotion_pressure", float),
+    "--ssd-read-mb-s": ("ssd_read_mb_per_s", float),
+    "--ssd-write-mb-s": ("ssd_write_mb_per_s", float),
+}
+OTHER_OPTIONS = ("--port", "--params", "--data-dir", "--fsync")
+
+
+def configured(args: list[str], first: CacheConfig | None = None) -> tuple[CacheConfig, dict[str, str]]:
+    """The configuration that start-up options ask for, and the options that are not part of it (port, params, data-dir, fsync).
+
+    The last of a kind counts. Unknown words, and an option whose value is missing, are passed over.
+    """
+    changes, others = {}, {}
+    words = iter(args)
+    for word in words:
+        if word == "--ssd-enabled":
+            changes["ssd_enabled"] = True
+        elif word in OPTIONS or word in OTHER_OPTIONS:
+            value = next(words, None)
+            if value is None:
+                break
+            if word in OPTIONS:
+                name, kind = OPTIONS[word]
+                changes[name] = kind(value)
+            else:
+                others[word.removeprefix("--")] = value
+    return replace(first or CacheConfig(), **changes), others

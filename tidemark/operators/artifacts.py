@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
 from tidemark.model import MAX_VALUE_BYTES
@@ -77,6 +78,21 @@ def get(requests: DataFrame, artifacts: DataFrame, stored: DataFrame) -> DataFra
     return requests.join(found.drop("blob_hash"), "key", "left").withColumn("hit", F.col("type").isNotNull())
 
 
+def get_live(requests: DataFrame, artifacts: DataFrame, stored: DataFrame) -> DataFrame:
+    """``requests`` (req, key, now_ms) with hit, payload_bytes and engine_hits: the reference of a key and its blob must both live (expires_ms; null: for ever).
+
+    Each read that finds something counts in the store, so that a hit counts twice there and a lost blob once.
+    """
+    alive = lambda c: F.col(c).isNull() | (F.col(c) > F.col("now_ms"))
+    keys = artifacts.select("key", "blob_hash", F.col("expires_ms").alias("key_until"), F.lit(True).alias("indexed"))
+    content = stored.select("blob_hash", F.col("size_bytes").alias("payload_bytes"), F.col("expires_ms").alias("blob_until"), F.lit(True).alias("kept"))
+    rows = requests.join(keys.join(content, "blob_hash", "left"), "key", "left")
+    found = F.coalesce(F.col("indexed"), F.lit(False)) & alive("key_until")
+    rows = rows.withColumn("found", found).withColumn("hit", F.col("found") & F.coalesce(F.col("kept"), F.lit(False)) & alive("blob_until"))
+    size = F.when(F.col("hit"), F.col("payload_bytes"))
+    return rows.select("req", "key", "hit", size.alias("payload_bytes"), (F.col("found").cast("int") + F.col("hit").cast("int")).alias("engine_hits"))
+
+
 def mget(requests: DataFrame, artifacts: DataFrame, stored: DataFrame) -> DataFrame:
     """Requests (req, keys array) answered in order: req, position, key, hit, payload_bytes."""
     asked = requests.select("req", F.posexplode("keys").alias("position", "key"))
@@ -109,6 +125,19 @@ def stats(artifacts: DataFrame) -> DataFrame:
     return artifacts.groupBy("type").agg(F.countDistinct("key").alias("n"))
 
 
+def stats_lines(puts: DataFrame, answered: DataFrame) -> DataFrame:
+    """nr, line: the report of the artifact layer, from all ``puts`` (key, type, blob_hash) and the ``answered`` reads (hit); types in order."""
+    put = puts.agg(F.count("*").alias("puts"))
+    content = puts.groupBy("blob_hash").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dedup_hits"), F.count("*").alias("blob_count"))
+    read = answered.agg(F.count("*").alias("gets"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    names = ["puts", "gets", "hits", "misses", "dedup_hits", "blob_count"]
+    # each side is one row
+    one = put.join(content).join(read).select(F.posexplode(F.array(*(F.format_string(f"{n}:%d", n) for n in names))).alias("at", "line"))
+    # one row a type
+    types = stats(puts).select((F.row_number().over(Window.orderBy("type")) + len(names)).alias("nr"), F.format_string("type.%s:%d", "type", "n").alias("line"))
+    return one.select((F.col("at") + 1).alias("nr"), "line").union(types)
+
+
 def top(artifacts: DataFrame, value: str, n: int = 10) -> DataFrame:
     """The ``n`` keys of the highest value, ties by key."""
     return artifacts.orderBy(F.col(value).desc(), "key").limit(n).select("key", value)
