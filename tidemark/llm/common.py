@@ -113,12 +113,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application.
 
-    It is in the one that the session names in spark.checkpoint.dir; a folder of our own is set
-    only where that is unset (single-machine use and tests).
+    It is in the one that the session names in spark.checkpoint.dir. Where that is unset, a folder
+    of this machine serves a local session (as in tests); on a cluster that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
