@@ -281,3 +281,13 @@ def test_report_of_an_empty_artifact_layer(spark):
     puts = spark.createDataFrame([], "key string, type string, blob_hash string")
     lines = A.stats_lines(puts, spark.createDataFrame([], "hit boolean")).orderBy("nr").collect()
     assert [r.line for r in lines] == ["puts:0", "gets:0", "hits:0", "misses:0", "dedup_hits:0", "blob_count:0"]
+
+
+def test_parameters_are_reloaded_or_refused(spark, tmp_path):
+    first = PolicyParams(w_mem=3.0)
+    (tmp_path / "good.json").write_text('{"version": "v7", "w_miss": 2.5, "evict_pressure": 9}')
+    (tmp_path / "bad.json").write_text("w_miss: 2.5")
+    assert files.reload_params(spark, str(tmp_path / "none.json"), first) == (first, "params file not found")
+    assert files.reload_params(spark, str(tmp_path / "bad.json"), first) == (first, "invalid schema")
+    found, error = files.reload_params(spark, str(tmp_path / "good.json"), first)
+    assert error is None and (found.version, found.w_miss, found.w_mem, found.evict_pressure) == ("v7", 2.5, 3.0, 1.0)

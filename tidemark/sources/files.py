@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,18 @@ def load_params(spark: SparkSession, path: str, current: PolicyParams = PolicyPa
     return PolicyParams(**{n: kinds[n](row[n]) for n in kinds})
 
 
+def reload_params(spark: SparkSession, path: str, current: PolicyParams) -> tuple[PolicyParams, str | None]:
+    """The parameters in force after CONFIG SET PARAMS, and why it is refused (None: it is answered OK); a refused one changes nothing."""
+    try:
+        return load_params(spark, path, current), None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return current, "params file not found"
+    except ValueError:
+        return current, "invalid schema"
+
+
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """miss_rate, avg_size_bytes of a JSON statistics snapshot, with defaults."""
     rows = spark.read.schema("miss_rate double, avg_size_bytes double").json(path, multiLine=True)
