@@ -264,3 +264,24 @@ def test_toxicity_without_labels_of_both_kinds(spark, toxic_corpus):
     one = toxicity.learn(docs, labels.where("toxic = 1"))
     assert all(0 <= r.score <= 1 for r in toxicity.passages(docs, one).collect())
     assert toxicity.passages(docs.limit(0), one).count() == 0
+
+
+def test_class_counts_reach_the_driver_as_one_packed_row_a_word(spark, monkeypatch):
+    """Nothing that grows with the vocabulary or its cells becomes Python rows on the driver."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 50)))) for i in range(60)], DOCS).repartition(4)
+    names = [f"w{i}" for i in range(20)]
+    hashes = np.array([class_lm._words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in names])
+    classes = np.array([*(i % 3 for i in range(20)), 3, 4])
+    want = np.zeros((2, 22, 5))
+    for r in docs.collect():
+        ids = [21, *(min(int(w[1:]), 20) for w in r.text.split()), 21]
+        for a, b in zip(ids, ids[1:]):
+            want[0, a, classes[b]] += 1
+            want[1, b, classes[a]] += 1
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows of Python objects"))
+    seqs = class_lm.sequences(docs.select("text"), hashes)
+    assert (class_lm._cells(seqs, classes, 5) == want).all()
+    assert class_lm.word_cells(seqs, classes, 5).count() == int(want.sum(axis=2).any(axis=0).sum())
+    model, words = class_lm.learn(docs, class_lm.word_counts(docs), core=10, known=10_000, n_classes=3)
+    assert len(model.known) == 31 and words.count() == 0

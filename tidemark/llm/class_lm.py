@@ -16,7 +16,8 @@ after the class before it, times that of the word in its class, both smoothed, m
 unigram base model, so that no token is impossible.
 
 Texts of the core are kept as sequences of 16-bit word numbers; each sweep counts words by the
-classes around them, in one matrix of fixed size for each task, and sums those by cell. Contexts of
+classes around them, in one matrix of fixed size for each task, and sums those by word, a row of packed
+counts for each. What reaches the driver comes as Arrow tables, not as Python rows. Contexts of
 other words are summed within tasks, then by word where its class is chosen. Counts and classes of
 words are a distributed table. The ``KNOWN`` most frequent ones are also sent to all tasks, which only
 saves work: bigrams with a rarer word are joined with the table on either side, for transition
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, in_groups, lower_ascii, mapped, release, slices, strings, table, word_hashes, word_spans
+from .common import checkpointed, in_groups, lower_ascii, mapped, partitions, release, slices, strings, table, word_hashes, word_spans
 
 CORE, KNOWN = 8192, 400_000
 CLASSES = 48
@@ -113,30 +114,53 @@ def sequences(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return mapped(texts.select("text"), run, "numbers binary")
 
 
-def _cells(seqs: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """[0, w, c]: how often word w is followed by class c; [1, w, c]: how often it follows class c. Of bounded size."""
+def _word_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """w, cells: of each word that has counts in ``total`` (words x cells), these as one binary of 64-bit integers."""
+    words = np.flatnonzero(total.any(axis=1))
+    for i in range(0, len(words), 1024):
+        part = words[i : i + 1024]
+        upto = np.arange(len(part) + 1, dtype=np.int32) * np.int32(total.shape[1] * 8)
+        cells = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto), pa.py_buffer(np.ascontiguousarray(total[part]))])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), cells], names=["w", "cells"])
+
+
+def _add_rows(total: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
+    for w, cells in zip(np.asarray(batch.column(0)).tolist(), batch.column(1), strict=True):
+        total[w] += np.frombuffer(cells.as_buffer(), np.int64)
+
+
+def word_cells(seqs: DataFrame, classes: np.ndarray, n_classes: int) -> DataFrame:
+    """w, cells: how often word w is followed by each class, then how often it follows each. One row a word."""
     words = len(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * words * n_classes, np.int64)
+        total = np.zeros((2, words, n_classes), np.int64)
+        after, before = total[0].reshape(-1), total[1].reshape(-1)
         for batch in batches:
             for b in batch.column(0):
                 w = np.frombuffer(b.as_buffer(), np.uint16).astype(np.int64)
                 if not len(w):
                     continue
                 c = classes[w]
-                before = np.concatenate([[classes[words - 1]], c[:-1]])
-                total[: words * n_classes] += np.bincount(np.concatenate([[words - 1], w[:-1]]) * n_classes + c, minlength=words * n_classes)
-                total[words * n_classes :] += np.bincount(w * n_classes + before, minlength=words * n_classes)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
+                after += np.bincount(np.concatenate([[words - 1], w[:-1]]) * n_classes + c, minlength=words * n_classes)
+                before += np.bincount(w * n_classes + np.concatenate([[classes[words - 1]], c[:-1]]), minlength=words * n_classes)
+        yield from _word_rows(np.concatenate([total[0], total[1]], axis=1))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((words, 2 * n_classes), np.int64)
+        for batch in batches:
+            _add_rows(total, batch)
+        yield from _word_rows(total)
+
+    schema = "w int, cells binary"
+    return mapped(mapped(seqs, run, schema).repartition(partitions(seqs.sparkSession), "w"), summed, schema)
 
-    rows = mapped(seqs, run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    found = np.zeros(2 * words * n_classes)
-    found[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return found.reshape(2, words, n_classes)
+
+def _cells(seqs: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """[0, w, c]: how often word w is followed by class c; [1, w, c]: how often it follows class c. Of bounded size."""
+    found = np.zeros((len(classes), 2 * n_classes), np.int64)
+    _add_rows(found, word_cells(seqs, classes, n_classes).toArrow())
+    return np.stack([found[:, :n_classes], found[:, n_classes:]]).astype(float)
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
@@ -202,6 +226,10 @@ def clustered(texts: DataFrame, vocabulary: np.ndarray, n: np.ndarray, n_classes
             return best, found
 
 
+def _integers(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy().astype(np.int64, copy=True)
+
+
 def _lookup(words: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(words)
     return (words[order], *(v[order] for v in values))
@@ -367,8 +395,8 @@ def learn(texts: DataFrame, counts: DataFrame, core: int = CORE, known: int = KN
     total, ends = int(total or 0), int(ends or 0)
     k = n_classes + 2
     # the core is what the feature is: so many most frequent words
-    first = counts.where("h <> 0").orderBy(F.col("n").desc(), "h").limit(core).toPandas()
-    vocabulary, n = first["h"].to_numpy(np.int64).view(np.uint64), first["n"].to_numpy(np.int64)
+    first = counts.where("h <> 0").orderBy(F.col("n").desc(), "h").limit(core).toArrow()
+    vocabulary, n = _integers(first, "h").view(np.uint64), _integers(first, "n")
     classes, pairs = clustered(texts, vocabulary, n, n_classes)
     words = checkpointed(other_words(texts, vocabulary, classes, pairs))
     release(texts.sparkSession)
@@ -381,11 +409,11 @@ def learn(texts: DataFrame, counts: DataFrame, core: int = CORE, known: int = KN
     mass[n_classes] += rest_types + 1
     mass[n_classes + 1] = ends
     least = least_known(counts.where("h <> 0"), known)
-    more = words.where(F.col("n") >= least).toPandas()
+    more = words.where(F.col("n") >= least).toArrow()
     at_hand = _lookup(
-        np.concatenate([vocabulary, more["h"].to_numpy(np.int64).view(np.uint64)]),
-        np.concatenate([n, more["n"].to_numpy(np.int64)]),
-        np.concatenate([classes[:m], more["c"].to_numpy(np.int64)]).astype(np.uint8),
+        np.concatenate([vocabulary, _integers(more, "h").view(np.uint64)]),
+        np.concatenate([n, _integers(more, "n")]),
+        np.concatenate([classes[:m], _integers(more, "c")]).astype(np.uint8),
     )
     words = words.where(F.col("n") < least)
     model = Model(total, int(types), ends, *at_hand, np.maximum(mass, 1), np.zeros((k, k)))
