@@ -400,3 +400,57 @@ def test_one_deviating_statistic_is_enough(spark):
     got = {r.doc_id: r for r in quality.verdicts(docs).collect()}
     assert all(got[i].kept for i in range(150))
     assert [got[i].base_failed for i in (150, 151, 152)] == [False] * 3 and not any(got[i].kept for i in (150, 151, 152))
+
+
+def test_line_dedup_packs_bucket_keys(spark):
+    """Few packed rows go to the shuffle, and buckets are those of the keys row by row."""
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(60)]
+    texts += [t.replace("w1", "w2", 1) for t in texts[:20]] + texts[40:45] + [texts[0] + "\n" + texts[0], None, "", "x"]
+    docs = docs_of(spark, texts).select("text").coalesce(1)
+    rows = [(k, x) for b in line_dedup._banded(docs.where("text IS NOT NULL").toArrow().to_batches()) for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    packed = line_dedup.mapped(docs.where("text IS NOT NULL"), line_dedup._packed, "g int, rows binary").collect()
+    assert sum(len(r.rows) for r in packed) == 16 * len(rows) and len(packed) < len(rows) / 2 and len({r.g for r in packed}) == len(packed)
+    lines = collections.defaultdict(collections.Counter)
+    for k, x in rows:
+        lines[k][x] += 1
+    members, repeated = line_dedup.buckets(docs)
+    got = sorted(map(tuple, members.collect()))
+    assert got == sorted((k, x) for k, c in lines.items() if len(c) > 1 for x in c) and got
+    got = sorted(r.x for r in repeated.collect())
+    assert got == sorted(x for k, c in lines.items() if k % 2 for x, m in c.items() if m > 1) and got
+
+
+def test_line_dedup_moves_texts_of_lines_once(spark):
+    """Texts are laid out by line, so that joins with them exchange the other side only."""
+    docs = docs_of(spark, [f"line {i} of some text\nanother line {i % 3}" for i in range(30)])
+    ids = line_dedup.lines_of(docs).select(line_dedup.line_id(F.col("line")).alias("x")).distinct()
+    lines = line_dedup.laid_out(line_dedup.texts_of(docs, line_dedup.checkpointed(ids)))
+    hint = line_dedup.checkpointed(ids.repartition(3)).hint("merge")
+    plan = hint.join(lines, "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 1
+
+
+def test_line_dedup_compares_few_as_many(spark):
+    """Sets compared one by one join the components that matrices join; sets and words are those of brute force."""
+    rng = random.Random(4)
+    for _ in range(60):
+        base = np.array(sorted(rng.sample(range(1000), 30)), np.uint64)
+        sets = [np.unique(np.concatenate([rng.sample(base.tolist(), 27), [rng.randrange(2000) for _ in range(rng.randint(0, 6))]]).astype(np.uint64)) for _ in range(rng.randint(1, 12))]
+        component = np.array([rng.randrange(6) for _ in sets])
+        ends = []
+        for join in (line_dedup._joining_few, minhash.joining):
+            root = component.tolist()
+            for i, j in join(sets, component, 80):
+                assert 100 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 80 * len({*sets[i].tolist()} | {*sets[j].tolist()}) and root[i] != root[j]
+                root = [root[j] if c == root[i] else c for c in root]
+            ends.append([[a == b for b in root] for a in root])
+        assert ends[0] == ends[1]
+    texts = ["a", "abcabcabcabc", "é" * 9 + "x", " \t\v\f\r", "\x1c", " ", "", "  \r w"]
+    import pyarrow as pa
+
+    with np.errstate(over="ignore"):
+        sizes = [len(x) for x in line_dedup._sets(pa.array(texts[:3]))]
+    assert sizes == [len({t[i : i + 5] for i in range(max(1, len(t) - 4))}) for t in texts[:3]]
+    rows = spark.createDataFrame([(t,) for t in texts], "line string").where(line_dedup.has_word(F.col("line"))).collect()
+    assert {r.line for r in rows} == {t for t in texts if re.search(r"[^\x20\x09-\x0D]", t)}
