@@ -65,6 +65,21 @@ def test_long_words_are_merged_by_a_heap(tiktoken_encoding):
         assert model.encode(w).tolist() == tiktoken_encoding.encode_ordinary(w)
 
 
+def test_bpe_decodes_each_distinct_word_once(monkeypatch, tiktoken_encoding):
+    model = bpe.Bpe(RANKS, public_tokenizers.PATTERN)
+    rows = []
+    run = model._decoded
+    monkeypatch.setattr(model, "_decoded", lambda docs, ids: rows.append(len(ids)) or run(docs, ids))
+    text = "naïve 日本語テキスト it's qzxjv qzxjv\x00 " * 40 + "a" * 600
+    for more in ("", " another wörd", ""):
+        words = model.split.findall(text + more)
+        n = model.numbers(words)
+        assert model.ids(n).tolist() == tiktoken_encoding.encode_ordinary(text + more)
+        assert "".join(model.decoded()[k] for k in n).encode("latin-1") == (text + more).encode()
+    once = [len(tiktoken_encoding.encode_ordinary(w)) for w in dict.fromkeys(model.split.findall(text))]
+    assert rows[0] == sum(once) and len(rows) == 2 and rows[1] < 10
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 1), (100, 16), (512, 64)])
 def test_token_counts_equal_whole_encodings(chunk, overlap):
     counter = token_count.Counter(JSON, chunk, overlap)

@@ -4,7 +4,8 @@ Each task splits its texts into pre-tokens and hands the distinct ones to a Duck
 the worker. There a recursive query unnests token positions, joins the neighbouring pairs with
 the merge table and contracts each word's leftmost pair of least rank, until no word has a pair
 left. Ids are decoded by joining token positions with the vocabulary and aggregating the pieces
-in the order of their positions. No row leaves its task: nothing is shuffled or collected.
+in the order of their positions, those of each distinct pre-token once, as they are encoded once.
+No row leaves its task: nothing is shuffled or collected.
 
 Words of more than ``LONG_WORD`` bytes, for which one contraction a step would be quadratic, are
 merged by a heap of pairs, in the same order and so with the same result.
@@ -18,9 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,11 @@ WITH RECURSIVE step(i, fixed, w, toks) AS (
             FROM cur WHERE len(toks) > 1
         ),
         best AS (
-            SELECT w, min(struct_pack(m := m, p := p)) AS b
+            SELECT w, min(m::BIGINT * 65536 + p) AS b
             FROM pairs JOIN merges ON pairs.l = merges.l AND pairs.r = merges.r GROUP BY w
         )
         SELECT i + 1, b IS NULL, cur.w,
-               CASE WHEN b IS NULL THEN toks ELSE toks[:b.p - 1] || [b.m] || toks[b.p + 2:] END
+               CASE WHEN b IS NULL THEN toks ELSE toks[:(b & 65535) - 1] || [(b >> 16)::INTEGER] || toks[(b & 65535) + 2:] END
         FROM cur LEFT JOIN best ON cur.w = best.w
     )
 )
@@ -127,6 +128,8 @@ class Bpe:
         self.known: dict[str, int] = {}
         self.begins, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.spelled: list[str] = []
+        #: What the ids of known words decode to, a code point for each byte, of as many as were asked for.
+        self.unspelled: list[str] = []
 
     def _add(self, words: list[str], lengths: np.ndarray, flat: np.ndarray, spelled: list[str]) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
@@ -135,14 +138,8 @@ class Bpe:
         self.flat = np.concatenate([self.flat, flat])
         self.spelled += spelled
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Makes the ids of ``words`` known."""
-        distinct = set(words)
-        if len(self.known) > CACHE_WORDS:
-            self._forget()
-        fresh = [w for w in distinct if w not in self.known]
-        if not fresh:
-            return
+    def _learn(self, fresh: list[str]) -> None:
+        """Makes the ids of distinct words known that are not."""
         coded = [w.encode() for w in fresh]
         whole, long, short = [], [], []
         for i, b in enumerate(coded):
@@ -165,22 +162,46 @@ class Bpe:
         ids = got.column(1).combine_chunks()
         self._add([fresh[short[i]] for i in got.column(0).to_pylist()], np.asarray(ids.value_lengths()).astype(np.int64), np.asarray(ids.flatten()).astype(np.int32), got.column(2).to_pylist())
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of known words, and all their ids in order."""
-        n = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, which are made known; they hold until the next call."""
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        n = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(n < 0)
+        if len(missing):
+            fresh = list(map(words.__getitem__, missing.tolist()))
+            self._learn(list(set(fresh)))
+            n[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        return n
+
+    def ids(self, n: np.ndarray) -> np.ndarray:
+        """All ids, in order, of the words with these numbers."""
         lengths = self.lengths[n]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return n, self.flat[np.repeat(self.begins[n] - ends + lengths, lengths) + np.arange(total)]
+        return self.flat[np.repeat(self.begins[n] - ends + lengths, lengths) + np.arange(total)]
+
+    def decoded(self) -> list[str]:
+        """What the ids of every known word decode to, by its number, a code point for each byte."""
+        done = len(self.unspelled)
+        if done < len(self.known):
+            lengths = self.lengths[done:]
+            words, pieces = self._decoded(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), self.flat[self.begins[done] :])
+            got = pieces.to_pylist()
+            self.unspelled += map(got.__getitem__, np.argsort(np.asarray(words)).tolist())
+        return self.unspelled
+
+    def _decoded(self, docs: np.ndarray, ids: np.ndarray) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
+        self.con.register("ids", pa.table({"doc": docs, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+        got = self.con.sql(_DECODE).to_arrow_table()
+        self.con.unregister("ids")
+        return got.column(0), got.column(1)
 
     def decode(self, docs: np.ndarray, ids: np.ndarray) -> dict[int, bytes]:
         """The bytes of each of ``docs``; ids are in order, docs[i] owns ids[i]."""
         if not len(ids):
             return {}
-        self.con.register("ids", pa.table({"doc": docs, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-        got = self.con.sql(_DECODE).to_arrow_table()
-        self.con.unregister("ids")
-        return {d: s.encode("latin-1") for d, s in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
+        return {d: s.encode("latin-1") for d, s in zip(*(c.to_pylist() for c in self._decoded(docs, ids)), strict=True)}
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens of a text, a bounded number at a time."""
@@ -194,8 +215,7 @@ class Bpe:
     def encode(self, text: str) -> np.ndarray:
         found = [np.zeros(0, np.int32)]
         for words in self.pieces(text or ""):
-            self.learn(words)
-            found.append(self.ids(words)[1])
+            found.append(self.ids(self.numbers(words)))
         return np.concatenate(found)
 
 
@@ -272,24 +292,20 @@ def digests(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = (
                 else:
                     parts = ([p] for p in parts)
                 for group in parts:
-                    bpe.learn(chain.from_iterable(words for _, words in group))
-                    numbers, ids = bpe.ids(list(chain.from_iterable(words for _, words in group)))
-                    own, at = [], 0
+                    numbers = bpe.numbers(list(chain.from_iterable(words for _, words in group)))
+                    decoded, at = bpe.decoded(), 0
                     for k, words in group:
                         mine = numbers[at : at + len(words)]
                         at += len(words)
-                        own.append(int(bpe.lengths[mine].sum()))
                         if words:
                             if counts[k]:
                                 ids_sha[k].update(b" ")
-                            ids_sha[k].update(" ".join(map(bpe.spelled.__getitem__, mine.tolist())).encode())
-                            counts[k] += own[-1]
-                    owners = np.repeat(np.array([k for k, _ in group], np.int32), own)
-                    if ids_into:
-                        for (k, _), x in zip(group, np.split(ids, np.cumsum(own)[:-1]), strict=True):
-                            all_ids[k].append(x)
-                    for k, b in bpe.decode(owners, ids).items():
-                        decoded_sha[k].update(b)
+                            each = mine.tolist()
+                            ids_sha[k].update(" ".join(map(bpe.spelled.__getitem__, each)).encode())
+                            decoded_sha[k].update("".join(map(decoded.__getitem__, each)).encode("latin-1"))
+                            counts[k] += int(bpe.lengths[mine].sum())
+                        if ids_into:
+                            all_ids[k].append(bpe.ids(mine))
             columns = [*batch.columns[:n_carried], pa.array(counts), pa.array([h.hexdigest() for h in ids_sha]), pa.array([h.hexdigest() for h in decoded_sha])]
             if ids_into:
                 flat = [x for own in all_ids for x in own]
