@@ -469,3 +469,39 @@ def test_line_dedup_compares_few_as_many(spark):
     assert sizes == [len({t[i : i + 5] for i in range(max(1, len(t) - 4))}) for t in texts[:3]]
     rows = spark.createDataFrame([(t,) for t in texts], "line string").where(line_dedup.has_word(F.col("line"))).collect()
     assert {r.line for r in rows} == {t for t in texts if re.search(r"[^\x20\x09-\x0D]", t)}
+
+
+def test_line_dedup_compares_many_pairs_as_one(monkeypatch):
+    """Pairs compared by matrices, of any width, are linked where brute force links them."""
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    left = ["a", "abcabcabcabc", "é" * 9 + "x", "日本語テキスト", "x" * 3000] + [prose(rng, rng.randint(3, 60), 99) for _ in range(150)]
+    right = [edited(rng, t, rng.randint(0, 3)) if len(t) > 20 else t for t in left[:-20]] + left[:20]
+    want = []
+    for p, q in zip(left, right, strict=True):
+        p, q = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (p, q))
+        want.append(100 * len(p & q) >= 80 * len(p | q))
+    assert 10 < sum(want) < len(want) - 10
+    for cells in (1, 5000, 1 << 17):
+        monkeypatch.setattr(line_dedup, "CELLS", cells)
+        with np.errstate(over="ignore"):
+            assert line_dedup._pairs_linked(pa.array(left), pa.array(right), 80).tolist() == want
+
+
+def test_line_dedup_cuts_texts_of_many_lines_in_linear_time(spark):
+    """The text is split once, not for every line that stays."""
+    import time
+
+    lines = [f"{i}" for i in range(30_000)]
+    docs = spark.createDataFrame([(0, "\n".join(lines), [3, 29_999]), (1, "a\n\nb", [0]), (2, "a", [0]), (3, "a\nb", None), (4, None, None)], "doc_id long, text string, gone array<int>")
+    begin = time.monotonic()
+    got = {r.doc_id: r.t for r in docs.select("doc_id", line_dedup.without_lines(F.col("text"), F.col("gone")).alias("t")).collect()}
+    assert time.monotonic() - begin < 15
+    assert got == {0: "\n".join(lines[:3] + lines[4:-1]), 1: "\nb", 2: "", 3: "a\nb", 4: None}
+
+
+def test_line_dedup_moves_texts_alike_in_small_and_large_tables(spark):
+    docs = docs_of(spark, ["one line of text\nanother", "one line of text", "last"])
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
