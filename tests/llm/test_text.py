@@ -505,3 +505,17 @@ def test_line_dedup_moves_texts_alike_in_small_and_large_tables(spark):
     docs = docs_of(spark, ["one line of text\nanother", "one line of text", "last"])
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_line_dedup_hashes_bounded_parts_of_a_group(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([prose(random.Random(i), 20, 99) for i in range(40)] + ["é" * 500])
+    with np.errstate(over="ignore"):
+        whole = line_dedup._sets(texts)
+        sizes = []
+        hashes = line_dedup.shingles_of
+        monkeypatch.setattr(line_dedup, "shingles_of", lambda c, *x: sizes.append(len(c)) or hashes(c, *x))
+        monkeypatch.setattr(line_dedup, "COMPARED_BYTES", 300)
+        parts = line_dedup._sets(texts)
+    assert len(sizes) > 5 and max(sizes) <= 500 and all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
