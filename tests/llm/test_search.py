@@ -266,6 +266,21 @@ def test_toxicity_without_labels_of_both_kinds(spark, toxic_corpus):
     assert toxicity.passages(docs.limit(0), one).count() == 0
 
 
+def test_toxicity_ranks_evidence_upwards_whatever_lies_far_out():
+    """A few clean rows with very much evidence, as long junk has, on which full Newton steps swing and end with a negative weight."""
+    rng = np.random.default_rng(3)
+    best = np.concatenate([np.where(rng.random(700) < 0.5, 0, rng.exponential(1.5, 700)), [180.0, 90.0], rng.gamma(4, 4, 90)])
+    x = np.column_stack([best, np.log1p(best * rng.uniform(1, 1.5, len(best)))])
+    y = (np.arange(len(best)) >= 702).astype(float)
+    w = np.array(toxicity._logistic(x, y))
+    assert (w[1:] >= 0).all() and w[1:].any()
+    scores = w[0] + x @ w[1:]
+    assert (scores[y == 1][:, None] > scores[y == 0]).mean() > 0.9
+    # at the best weights no part of a positive one is left to climb
+    slope = np.column_stack([np.ones(len(x)), x]).T @ (y - 1 / (1 + np.exp(-scores))) - np.array([1e-6, 0.1, 0.1]) * w
+    assert (np.abs(slope[w != 0]) < 1e-3).all() and (slope[w == 0] < 1e-3).all()
+
+
 def test_class_counts_reach_the_driver_as_one_packed_row_a_word(spark, monkeypatch):
     """Nothing that grows with the vocabulary or its cells becomes Python rows on the driver."""
     rng = random.Random(9)

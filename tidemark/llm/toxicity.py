@@ -149,18 +149,45 @@ def _token_counts(rows: DataFrame) -> DataFrame:
     return mapped(rows.select("text", "toxic"), run, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Weights of (1, x0, x1) by Newton steps with a small ridge."""
-    z = np.column_stack([np.ones(len(x)), x])
-    w = np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 0.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-6, 1e-1, 1e-1])
-        step = np.linalg.solve(h, z.T @ (y - p) - np.array([0.0, 1e-1, 1e-1]) * w)
-        w = w + np.clip(step, -5, 5)
+def _newton(z: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the columns of ``z`` that have the greatest penalised log likelihood, and it.
+
+    Full Newton steps swing between bounds where a few rows lie far out, so each is halved until it climbs.
+    """
+
+    def height(w: np.ndarray) -> float:
+        at = z @ w
+        return float((y * at - np.logaddexp(0, at)).sum() - (ridge * w * w).sum() / 2)
+
+    w = np.zeros(z.shape[1])
+    w[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    top = height(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -700, 700)))
+        slope = z.T @ (y - p) - ridge * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), slope)
+        while (now := height(w + step)) < top + 1e-4 * float(slope @ step) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if now <= top:
+            break
+        w, top = w + step, now
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(v) for v in w)
+    return w, top
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of (1, x0, x1), fitted with a small ridge; those of evidence are never negative, so that more of it never lowers a score."""
+    z = np.column_stack([np.ones(len(x)), x])
+    ridge = np.array([1e-6, 1e-1, 1e-1])
+    best, top = np.zeros(3), -np.inf
+    # the best weights within the bounds are the best of some columns, with nothing for the others
+    for columns in ([0, 1, 2], [0, 1], [0, 2], [0]):
+        w, height = _newton(z[:, columns], y, ridge[columns])
+        if height > top and (w[1:] >= 0).all():
+            best, top = np.zeros(3), height
+            best[columns] = w
+    return tuple(float(v) for v in best)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_labels: int = LABELS) -> Model:
