@@ -12,7 +12,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import policies as P
 from tidemark.operators import state as K
 from tidemark.operators import store
-from tidemark.operators.replay import Cache, counters, fold, replay, token_bucket
+from tidemark.operators.replay import Cache, _benefit, counters, fold, replay, token_bucket
 from tidemark.sources import files, segments
 from tidemark.sources.generators import artifact_workload, workload
 from tidemark.sources.resp import MALFORMED, Parser
@@ -227,6 +227,36 @@ def test_second_tier_ends_and_budgets():
     assert [(r[1], r[3]) for r in fold(iter(rows), e)] == [("ok", 0), ("moved", 0), ("0", 0), ("miss", 1), ("absent", 0)]
 
 
+def test_victims_by_cost_are_the_least_worth_of_all_but_few_are_looked_at(monkeypatch):
+    """Against a look at every entry, also while time goes back or reuse counts against an entry."""
+    from tidemark.operators import replay as module
+
+    for reuse in (1.0, 3.0, -0.5):
+        rng, looked = random.Random(8), []
+        params = PolicyParams(w_reuse=reuse, admit_threshold=-1e9)
+        c = Cache(CacheConfig(policy="cost", memory_limit_bytes=60_000, params=params))
+        monkeypatch.setattr(module, "_benefit", lambda *a: looked.append(0) or _benefit(*a))
+        now, victims, held = 0, 0, 0
+        for i in range(3000):
+            now += rng.choice([5, 400, 90_000, -20_000])
+            key = f"k{rng.randrange(800)}"
+            if rng.random() < 0.6:
+                c.set(key, rng.choice([64, 64, 100, rng.randrange(3000)]), "default", None if i % 3 else now + 500_000, now)
+            elif rng.random() < 0.7:
+                c.get(key, now)
+            else:
+                c.delete(key, now)
+            if c.used >= 48_000:
+                want = min(c.ram, key=lambda k: (_benefit(c.ram[k].size, c.ram[k].hits, now - c.ram[k].touched, 1.0, params), k))
+                before, window = len(looked), dict(c.window)
+                assert c._victim(now) == want
+                c.window = window
+                victims, held = victims + len(looked) - before, held + len(c.ram)
+        assert [k for _, k in sorted(c.bounds, key=lambda b: b[1])] == sorted(c.ram)
+        if reuse == 1.0:
+            assert held > 10_000 and victims < held / 3
+
+
 def test_replay_equals_the_fold_and_the_query(spark):
     rng = random.Random(5)
     rows = [(i * 10, f"k{rng.randint(0, 9)}", rng.choice(["SET", "GET", "GET", "DEL"]), rng.randint(1, 60), rng.choice([None, 50, 500]), "default") for i in range(400)]
