@@ -12,7 +12,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import policies as P
 from tidemark.operators import state as K
 from tidemark.operators import store
-from tidemark.operators.replay import Cache, _benefit, counters, fold, replay, token_bucket
+from tidemark.operators.replay import Cache, _benefit, _by_shard, counters, fold, replay, token_bucket
 from tidemark.sources import files, segments
 from tidemark.sources.generators import artifact_workload, workload
 from tidemark.sources.resp import MALFORMED, Parser
@@ -257,6 +257,18 @@ def test_victims_by_cost_are_the_least_worth_of_all_but_few_are_looked_at(monkey
             assert held > 10_000 and victims < held / 3
 
 
+def test_replay_sorts_blocks_not_rows(spark):
+    """The one task of a shard has a row for each block, and the order of the log whatever the order of its rows."""
+    rows = [(i, i, f"k{i % 7}", "SET" if i % 3 else "GET", 5 if i % 3 else None, "rag", None) for i in range(25_000)]
+    log = spark.createDataFrame(rows, "seq long, ts_ms long, key string, cmd string, size_bytes long, owner string, deadline_ms long").repartition(5, "ts_ms")
+    assert _by_shard(log, 1).count() <= 25 and [r.nr for r in _by_shard(log.limit(0), 1).collect()] == []
+    got = [(r.seq, r.outcome, r.memory_used) for r in replay(log, "lru", 1000).collect()]
+    want = [(r[0], r[1], r[4]) for r in fold(iter(rows), Cache(CacheConfig(policy="lru", memory_limit_bytes=1000)))]
+    assert got == want
+    shards = {r.shard: r.n for r in replay(log, "lru", 1000, shards=3).groupBy("shard").agg({"seq": "count"}).toDF("shard", "n").collect()}
+    assert sum(shards.values()) == 25_000 and len(shards) > 1
+
+
 def test_replay_equals_the_fold_and_the_query(spark):
     rng = random.Random(5)
     rows = [(i * 10, f"k{rng.randint(0, 9)}", rng.choice(["SET", "GET", "GET", "DEL"]), rng.randint(1, 60), rng.choice([None, 50, 500]), "default") for i in range(400)]
